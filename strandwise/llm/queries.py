@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding
+from . import chat, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -14,15 +14,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_windows(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_chat_formatting": op6_chat_formatting,
     "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_chat_formatting": chat.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
