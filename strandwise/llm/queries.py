@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality_rules, sharding, simhash
+from . import chat, license_scan, quality_rules, secret_scan, sharding, simhash
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digests(license_scan.license_scan(table(spark, sf_dir, "documents")))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_license_scan": op7_license_scan,
+    "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
 }
 
