@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, license_scan, piece_sampling, quality_model, quality_rules, secret_scan, sharding, simhash
+from . import chat, decontaminate, html_text, license_scan, piece_sampling, quality_model, quality_rules, secret_scan, sharding, simhash
 from .common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_quality_rules": op2_quality_rules,
     "op3_piece_sampling": op3_piece_sampling,
     "op4_decontamination": op4_decontamination,
