@@ -115,3 +115,38 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, path: str = "d
     fresh = settle(scan_unseen(docs, ledger, path=path, text=text))
     known = fresh if ledger is None else ledger.unionByName(fresh)
     return digests(findings(docs, known, path=path, text=text))
+
+
+def redact(docs: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+    """The rows of docs, all columns, each span of the text replaced by its kind in brackets.
+
+    Overlapping spans are one, of the first one's kind. n_chars, where docs has
+    it, becomes the length of the new text. Null texts stay null. Rows meet
+    their findings by the content's hash, so all copies are redacted.
+    """
+    fresh = settle(scan_unseen(docs, ledger, path=key, text=text))
+    known = (fresh if ledger is None else ledger.unionByName(fresh)).where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0))
+    found = known.select("blob", "spans")
+
+    @F.pandas_udf(T.StringType())
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, found in zip(texts, spans):
+            if t is None or found is None or not len(found):
+                out.append(t)
+                continue
+            parts, at = [], 0
+            for s in found:
+                if s["start"] >= at:
+                    parts += [t[at : s["start"]], f"[{s['kind']}]"]
+                at = max(at, s["end"])
+            out.append("".join([*parts, t[at:]]))
+        return pd.Series(out, dtype=object)
+
+    # the row is packed, so that no column of docs can clash
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), blob_of(docs[text]).alias("blob"), docs[text].alias("said"))
+    cleaned = packed.join(found, "blob", "left").select("row", cut("said", "spans").alias("said"))
+    new = {text: F.col("said")}
+    if n_chars and n_chars in docs.columns:
+        new[n_chars] = F.length("said").cast(docs.schema[n_chars].dataType)
+    return cleaned.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

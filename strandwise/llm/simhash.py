@@ -165,3 +165,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns, with the smallest id of their component; one row for each such id.
+
+    Rows that repeat an id are versions of one document, of which one stays.
+    A row without an id stays only where no row of its component has one.
+    """
+    classes = near_duplicates(docs, key, text, radius)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    # the row is packed, so that no column of docs can clash
+    packed = docs.select(docs[key].alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return packed.join(kept, packed["id"].eqNullSafe(kept["kept"]), "left_semi").dropDuplicates(["id"]).select("row.*")
