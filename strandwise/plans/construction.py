@@ -4,21 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandwise.operators import analyze, build
+from strandwise.plans.registry import register
 from strandwise.sources import star
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = register()
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -89,8 +81,6 @@ _BY_TYPE = "membership AS (SELECT id, dense_rank() OVER (ORDER BY split_part(sou
 def by_folder(nodes: DataFrame) -> DataFrame:
     """A stand-in membership: the top folder's number in order."""
     names = nodes.select(analyze.top_dir(F.col("source_file")).alias("dir")).distinct()
-    from pyspark.sql import Window as W
-
     numbered = names.withColumn("community", F.row_number().over(W.orderBy("dir")).cast("long"))
     return nodes.withColumn("dir", analyze.top_dir(F.col("source_file"))).join(F.broadcast(numbered), "dir").select("id", "community")  # a row a folder
 

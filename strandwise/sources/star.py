@@ -121,7 +121,7 @@ ORACLE_ADJ = ORACLE_EDGES + """,
 adj AS (
   SELECT src AS id, tgt AS nbr FROM edges WHERE src <> tgt UNION SELECT tgt, src FROM edges WHERE src <> tgt)"""
 
-ORACLE_INTERVALS = """flat AS (SELECT event_id, user_id, event_type, value, epoch_ms(ts) AS t FROM events),
+ORACLE_INTERVALS = """flat AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS t FROM events),
 intervals AS (
   SELECT 'event:' || event_id AS id, 'user:' || user_id AS owner, event_type AS kind, t,
     lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS t_end,
