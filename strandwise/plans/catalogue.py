@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwise.plans import construction, history, retrieval
+from strandwise.plans import construction, history, retrieval, traversal
 
-MODULES = (construction, history, retrieval)
+MODULES = (construction, history, retrieval, traversal)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {n: s for m in MODULES for n, s in m.ORACLES.items()}
