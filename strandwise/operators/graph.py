@@ -111,23 +111,51 @@ def personalized_rank(adj: DataFrame, nodes: DataFrame, seeds: DataFrame, rounds
     return state.select("id", "rank")
 
 
-def communities(adj: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, community) by label propagation over weighted adjacency: heaviest label first, then the smallest.
+def _local_moves(adj: DataFrame, rounds: int) -> DataFrame:
+    """(id, community): nodes move to the neighbouring community of most modularity gain, by turns.
 
-    Nodes take turns by the parity of their hash, so that a pair doesn't swap
-    labels for ever. Partitions needn't be those of a modularity search.
+    Turns are by the parity of the node's and the round's hash, so that a pair
+    doesn't swap for ever; the smallest community wins a tie.
     """
-    state = settle(adj.select("id").distinct().withColumn("community", F.col("id")))
+    degree = settle(adj.groupBy("id").agg(F.sum("w").alias("k")))
+    total = adj.agg(F.sum("w").alias("total")).first().total or 1.0
+    state = settle(degree.withColumn("community", F.col("id")))
+    own_links = adj.where("id != nbr")
     for r in range(rounds):
-        votes = adj.join(state.select(F.col("id").alias("nbr"), "community"), "nbr").groupBy("id", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "community"))["community"].alias("new"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        nxt = settle(state.join(best, "id").select("id", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community"), F.col("community").alias("was")))
-        moved = nxt.where("community != was").count()
-        state = nxt.drop("was")
+        size = state.groupBy("community").agg(F.sum("k").alias("mass"))
+        links = own_links.join(state.select(F.col("id").alias("nbr"), "community"), "nbr").groupBy("id", "community").agg(F.sum("w").alias("w"))
+        stay = state.select("id", "community", F.lit(0.0).alias("w"))
+        options = links.unionByName(stay).groupBy("id", "community").agg(F.sum("w").alias("w"))
+        at = state.select("id", "k", F.col("community").alias("was"))
+        priced = options.join(at, "id").join(size, "community")
+        mass = F.col("mass") - F.when(F.col("community") == F.col("was"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - F.col("k") * mass / total, 9)
+        best = priced.groupBy("id").agg(F.min(F.struct((-gain).alias("g"), "community"))["community"].alias("new"))
+        turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
+        nxt = settle(state.join(best, "id").select("id", "k", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community"), (turn & (F.col("new") != F.col("community"))).alias("moved")))
+        moved = nxt.where("moved").count()
+        state = nxt.drop("moved")
         if not moved and r % 2:
             break
-    return state
+    return state.select("id", "community")
+
+
+def communities(adj: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
+    """(id, community) of weighted adjacency in both directions, by local modularity moves and contraction, level by level.
+
+    Each level's graph is that of the communities before. The partition is
+    deterministic; it needn't be that of a sequential search.
+    """
+    member = None
+    for _ in range(levels):
+        moved = settle(_local_moves(adj, rounds))
+        before = adj.select("id").distinct().count()
+        member = moved if member is None else settle(member.join(moved.select(F.col("id").alias("community"), F.col("community").alias("new")), "community").select("id", F.col("new").alias("community")))
+        if moved.select("community").distinct().count() in (before, 1):
+            break
+        to = lambda side, name: moved.select(F.col("id").alias(side), F.col("community").alias(name))
+        adj = settle(adj.join(to("id", "a"), "id").join(to("nbr", "b"), "nbr").groupBy(F.col("a").alias("id"), F.col("b").alias("nbr")).agg(F.sum("w").alias("w")))
+    return member
 
 
 def modularity(adj: DataFrame, membership: DataFrame) -> DataFrame:

@@ -88,9 +88,9 @@ def h6_personalized_rank(spark, sf_dir):
 
 @query()
 def h7_communities(spark, sf_dir):
-    """Label propagation; which partition is best is no matter of SQL, its modularity is tested."""
+    """Modularity moves; which partition is best is no matter of SQL, its modularity is tested."""
     emissions = star.emissions(spark, sf_dir).where(F.col("relation").isin(*PLACES, "PLACED"))
-    return graph.communities(weighted_adjacency(build.merge_evidence(emissions)), rounds=6)
+    return graph.communities(weighted_adjacency(build.merge_evidence(emissions)), rounds=6, levels=2)
 
 
 @query(
