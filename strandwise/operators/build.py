@@ -68,9 +68,14 @@ def merge_nodes(extracted: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Distinct neighbours in both directions, without loops: (id, nbr)."""
-    pairs = edges.where("src != tgt").select("src", "tgt")
-    return pairs.select(F.col("src").alias("id"), F.col("tgt").alias("nbr")).unionByName(pairs.select(F.col("tgt").alias("id"), F.col("src").alias("nbr"))).distinct()
+    """Distinct neighbours in both directions, without loops: (id, nbr).
+
+    Pairs are made distinct with their ends in order, so that only one row of
+    each pair is shuffled; both directions follow after it.
+    """
+    pairs = edges.where("src != tgt").select(F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")).distinct()
+    both = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("nbr")), F.struct(F.col("b").alias("id"), F.col("a").alias("nbr")))
+    return pairs.select(F.inline(both))
 
 
 def undirected(edges: DataFrame) -> DataFrame:

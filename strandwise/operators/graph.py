@@ -16,6 +16,7 @@ from .iterate import settle
 
 def bfs(adj: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(id, depth): nodes within `depth` steps of the starts (id), each at its least depth."""
+    adj = settle(adj)  # read by every round
     seen = settle(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
@@ -29,6 +30,7 @@ def bfs(adj: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 def multi_bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, id, depth) from every start at once, along directed edges (id, nbr)."""
+    edges = settle(edges)  # read by every round
     seen = settle(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
@@ -42,7 +44,7 @@ def multi_bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 def shortest_path(adj: DataFrame, source: str, target: str, max_hops: int = 8) -> DataFrame:
     """(hop, id) of the shortest path, smallest parents first; empty if there is none within max_hops."""
-    spark = adj.sparkSession
+    spark, adj = adj.sparkSession, settle(adj)
     levels = [settle(spark.createDataFrame([(source, None)], "id string, parent string"))]
     seen = levels[0].select("id")
     for _ in range(max_hops):
@@ -95,6 +97,7 @@ def personalized_rank(adj: DataFrame, nodes: DataFrame, seeds: DataFrame, rounds
         base = base.select("id", (F.coalesce("mass", F.lit(0.0)) / total).alias("p"))
     else:
         base = base.select("id", F.lit(1.0 / max(1, nodes.select("id").distinct().count())).alias("p"))
+    adj = settle(adj)
     out = adj.groupBy("id").agg(F.sum("w").alias("total"))
     state = settle(base.join(out, "id", "left").select("id", "p", "total", F.col("p").alias("rank")))
     steps = settle(adj.join(out, "id").select("id", "nbr", (F.col("w") / F.col("total")).alias("share")))
@@ -117,6 +120,7 @@ def _local_moves(adj: DataFrame, rounds: int) -> DataFrame:
     Turns are by the parity of the node's and the round's hash, so that a pair
     doesn't swap for ever; the smallest community wins a tie.
     """
+    adj = settle(adj)
     degree = settle(adj.groupBy("id").agg(F.sum("w").alias("k")))
     total = adj.agg(F.sum("w").alias("total")).first().total or 1.0
     state = settle(degree.withColumn("community", F.col("id")))
@@ -169,6 +173,7 @@ def modularity(adj: DataFrame, membership: DataFrame) -> DataFrame:
 
 def betweenness(adj: DataFrame, sources: DataFrame, max_depth: int = 12) -> DataFrame:
     """(id, score): Brandes' dependencies summed over the sources, all of which advance together."""
+    adj = settle(adj)
     front = settle(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
     levels, seen = [front], front.select("s", "id")
     for _ in range(max_depth):

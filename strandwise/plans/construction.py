@@ -75,7 +75,7 @@ def f4_surprising_connections(spark, sf_dir):
     return analyze.surprises(nodes, edges, adj, n=20)
 
 
-_BY_TYPE = "membership AS (SELECT id, dense_rank() OVER (ORDER BY split_part(source_file, '/', 1)) AS community FROM nodes)"
+_BY_TYPE = "membership AS MATERIALIZED (SELECT id, dense_rank() OVER (ORDER BY split_part(source_file, '/', 1)) AS community FROM nodes)"
 
 
 def by_folder(nodes: DataFrame) -> DataFrame:
@@ -101,7 +101,8 @@ def f5_cross_community(spark, sf_dir):
 
 @query(
     f"""WITH {star.ORACLE_NODES}, {star.ORACLE_ADJ}, {_BY_TYPE},
-inside AS (SELECT a.community, count(*) AS pairs FROM adj JOIN membership a ON a.id = adj.id JOIN membership b ON b.id = adj.nbr WHERE adj.id < adj.nbr AND a.community = b.community GROUP BY a.community),
+ends AS MATERIALIZED (SELECT a.community AS x, b.community AS y FROM adj JOIN membership a ON a.id = adj.id JOIN membership b ON b.id = adj.nbr WHERE adj.id < adj.nbr),
+inside AS (SELECT x AS community, count(*) AS pairs FROM ends WHERE x = y GROUP BY x),
 sized AS (SELECT community, count(*) AS size FROM membership GROUP BY community)
 SELECT community, size, round(CASE WHEN size <= 1 THEN 1.0 ELSE coalesce(pairs, 0) / (size * (size - 1) / 2.0) END, 6)::DOUBLE AS cohesion FROM sized LEFT JOIN inside USING (community)"""
 )

@@ -49,7 +49,7 @@ def one(spark, *ids):
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
 
-_BFS = "bfs AS (SELECT '{0}' AS id, 0 AS depth UNION SELECT nbr, depth + 1 FROM bfs JOIN adj USING (id) WHERE depth < {1}), near AS (SELECT id, min(depth) AS depth FROM bfs GROUP BY id)"
+_BFS = "bfs AS (SELECT '{0}' AS id, 0 AS depth UNION SELECT nbr, depth + 1 FROM bfs JOIN adj USING (id) WHERE depth < {1}), near AS MATERIALIZED (SELECT id, min(depth) AS depth FROM bfs GROUP BY id)"
 
 
 @query(f"WITH RECURSIVE {star.ORACLE_ADJ}, {_BFS.format('supplier:1', 3)} SELECT id, depth FROM near")
@@ -58,7 +58,7 @@ def h1_bfs(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {star.ORACLE_ADJ}, {_BFS.format('region:0', 8)}, par AS (SELECT a.nbr AS id, min(a.id) AS parent FROM adj a JOIN near x ON x.id = a.id JOIN near y ON y.id = a.nbr WHERE x.depth = y.depth - 1 GROUP BY a.nbr),
+    f"""WITH RECURSIVE {star.ORACLE_ADJ}, {_BFS.format('region:0', 8)}, par AS MATERIALIZED (SELECT a.nbr AS id, min(a.id) AS parent FROM adj a JOIN near x ON x.id = a.id JOIN near y ON y.id = a.nbr WHERE x.depth = y.depth - 1 GROUP BY a.nbr),
 path AS (SELECT depth AS hop, id FROM near WHERE id = 'part:17' UNION ALL SELECT hop - 1, parent FROM path JOIN par USING (id)) SELECT hop, id FROM path"""
 )
 def h4_shortest_path(spark, sf_dir):

@@ -90,7 +90,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE_NODES = """nodes AS (
+ORACLE_NODES = """nodes AS MATERIALIZED (
   SELECT 'region:' || r_regionkey AS id, r_name AS label, 'region' AS node_type, 'geo/region.md' AS source_file FROM region
   UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'nation', 'geo/nation.md' FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, c_name, 'customer', 'crm/' || lower(c_mktsegment) || '.py' FROM customer
@@ -110,7 +110,7 @@ emissions AS (
   UNION ALL SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'SUPPLIED_BY', seen, l_quantity, ym FROM line)"""
 
 ORACLE_EDGES = ORACLE_EMISSIONS + """,
-edges AS (
+edges AS MATERIALIZED (
   SELECT src, tgt, relation, max(weight) AS weight,
     CASE max(CASE confidence WHEN 'EXTRACTED' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END) WHEN 3 THEN 'EXTRACTED' WHEN 2 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence,
     max(CASE confidence WHEN 'EXTRACTED' THEN 1.0 WHEN 'INFERRED' THEN 0.5 ELSE 0.2 END)::DOUBLE AS confidence_score,
@@ -118,7 +118,7 @@ edges AS (
   FROM emissions GROUP BY src, tgt, relation)"""
 
 ORACLE_ADJ = ORACLE_EDGES + """,
-adj AS (
+adj AS MATERIALIZED (
   SELECT src AS id, tgt AS nbr FROM edges WHERE src <> tgt UNION SELECT tgt, src FROM edges WHERE src <> tgt)"""
 
 ORACLE_INTERVALS = """flat AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS t FROM events),
