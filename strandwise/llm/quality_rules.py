@@ -182,3 +182,54 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
             *SIGNALS,
         )
     )
+
+
+def _oracle() -> str:
+    """DuckDB SQL for the verdicts over `documents`, for tables whose ids are unique."""
+    gone = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    rate = {
+        "symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)",
+        "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_len": "100 * word_chars // greatest(n_words, 1)",
+    }
+    long = " UNION ALL ".join(
+        f"SELECT lang, source, '{s}' AS signal, {least} AS least, {s} - {s} % (1::BIGINT << greatest(length(bin({s})) - 5, 0)) AS bucket FROM rated WHERE n_words > 0"
+        for s, (least, _, _) in SIGNALS.items()
+    )
+    fine = " AND ".join(
+        f"(SELECT bool_and({test}) FROM fences f WHERE f.lang = r.lang AND f.source = r.source AND signal = '{s}')"
+        for s, (_, above, below) in SIGNALS.items()
+        for test in ([f"r.{s} <= high"] if above else []) + ([f"r.{s} >= low"] if below else [])
+    )
+    quartiles = (
+        "SELECT {0} signal, max(total) AS total, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM "
+        "(SELECT *, sum(n) OVER (PARTITION BY {0} signal ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {0} signal) AS total FROM (SELECT {0} signal, bucket, count(*) AS n FROM long GROUP BY ALL)) GROUP BY {0} signal"
+    )
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: translate(x, {gone}, '') <> '') AS lines FROM documents),
+placed AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
+windows AS (SELECT doc_id, i, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS tri FROM placed WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS k FROM windows WHERE tri IS NOT NULL) WHERE k > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, lang, source, len(words)::BIGINT AS n_words, length(translate(text, {gone}, ''))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM docs d LEFT JOIN covered USING (doc_id)),
+rated AS MATERIALIZED (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {", ".join(f"{e} AS {s}" for s, e in rate.items())} FROM counted),
+long AS MATERIALIZED ({long}),
+own AS ({quartiles.format("lang, source,")}), lang_wide AS ({quartiles.format("lang,")}), whole AS ({quartiles.format("")}),
+picked AS (
+  SELECT own.lang, own.source, own.signal, least,
+    CASE WHEN own.total >= {MIN_GROUP} THEN own.q1 WHEN l.total >= {MIN_GROUP} THEN l.q1 ELSE w.q1 END AS q1,
+    CASE WHEN own.total >= {MIN_GROUP} THEN own.q3 WHEN l.total >= {MIN_GROUP} THEN l.q3 ELSE w.q3 END AS q3
+  FROM own JOIN lang_wide l ON l.lang = own.lang AND l.signal = own.signal JOIN whole w ON w.signal = own.signal JOIN (SELECT DISTINCT signal, least FROM long) x ON x.signal = own.signal),
+fences AS MATERIALIZED (SELECT lang, source, signal, q1 - greatest({FENCE} * (q3 - q1), least) AS low, q3 + greatest({FENCE} * (q3 - q1), least) AS high FROM picked)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({fine}, false) AS kept,
+  symbol_rate, dup_line_rate, repeat_rate, word_len FROM rated r
+"""
+
+
+ORACLE = _oracle()

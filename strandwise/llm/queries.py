@@ -64,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
