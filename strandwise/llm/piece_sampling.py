@@ -77,6 +77,7 @@ class Pieces:
         for text, i in pieces.items():
             self.weight[i] = weight(i, text)
         self.weight[n] = weight(n, "x")
+        self.weight[self.weight == 0] = self.weight[n]  # bytes have no piece of their own
         # transitions: a dense table for code points below 256, sorted keys for the rest
         self.low = np.zeros((size, 256), dtype=np.uint16 if size < 1 << 16 else np.int32)
         rest = []
@@ -123,7 +124,8 @@ class Pieces:
             if not len(starts):
                 break
         start, length, code = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((length, start + length))  # by stop, then by length
+        # by stop, then by length: each length's edges are in order already, which a merging sort makes use of
+        order = np.argsort((start + length) * 32 + length, kind="stable")
         return start[order], (start + length)[order], code[order]
 
     def lattice(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,28 +140,32 @@ class Pieces:
         stops = np.cumsum(lengths)
         segment = np.repeat(np.arange(len(segments)), lengths)
         start, stop, code = self.edges(chars, stops[segment])
-        weight = self.weight[np.minimum(code, self.size)]  # bytes have no piece of their own
-        weight = np.where(weight > 0, weight, self.weight[self.size])
-        begin = (stops - lengths)[segment]  # of each character's segment
-        # alpha is held by place, a segment's first place apart: that has 1
-        alpha = np.zeros(len(chars) + 1)
-        depth = stop - begin[stop - 1]
-        long = lengths[segment[stop - 1]] > LONG
+        weight = self.weight[np.minimum(code, self.size)]
+        own, first_char = segment[start], stops - lengths
+        depth = stop - first_char[own]
+        # a segment has a node more than characters: its first one has all the mass
+        source, target = start + own, stop + own
+        alpha = np.zeros(len(chars) + len(segments))
+        alpha[first_char + np.arange(len(segments))] = 1.0
+        long = lengths[own] > LONG
         short = np.flatnonzero(~long)
-        by_depth = short[np.argsort(depth[short], kind="stable")]
-        cuts = np.searchsorted(depth[by_depth], np.arange(1, LONG + 2))
-        share = np.zeros(len(start))
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
+        by_depth = short[np.argsort(depth[short].astype(np.uint8), kind="stable")]
+        source, target, mass_of, share_of = source[by_depth], target[by_depth], weight[by_depth], np.zeros(len(by_depth))
+        heads = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(heads, len(target)))
+        cuts = np.searchsorted(depth[by_depth][heads], np.arange(1, LONG + 2))
+        for i, j in zip(cuts, cuts[1:]):  # all nodes of one depth at once
+            if i == j:
                 continue
-            e = by_depth[a:b]
-            mass = weight[e] * np.where(start[e] == begin[start[e]], 1.0, alpha[start[e]])
-            group = np.cumsum(np.concatenate(([0], (np.diff(stop[e]) != 0).astype(np.int64))))
-            total = np.bincount(group, weights=mass)
-            alpha[stop[e][np.concatenate(([0], np.flatnonzero(np.diff(stop[e])) + 1))]] = total
-            share[e] = mass / total[group]
+            a, b = heads[i], heads[j - 1] + sizes[j - 1]
+            mass = mass_of[a:b] * alpha[source[a:b]]
+            total = np.add.reduceat(mass, heads[i:j] - a)
+            alpha[target[heads[i:j]]] = total
+            share_of[a:b] = mass / np.repeat(total, sizes[i:j])
+        share = np.zeros(len(start))
+        share[by_depth] = share_of
         if long.any():
-            self._filter_long(np.flatnonzero(long), start, stop, weight, begin, share)
+            self._filter_long(np.flatnonzero(long), start, stop, weight, first_char[segment], share)
         part = np.rint(share * _ONE).astype(np.int64)
         run = np.cumsum(part)
         last = np.append(np.diff(stop) != 0, True)
