@@ -168,13 +168,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, with the smallest id of their component; one row for each such id.
+    """The rows of docs, all columns, that stay: exactly one of each component, whatever the ids are.
 
-    Rows that repeat an id are versions of one document, of which one stays.
-    A row without an id stays only where no row of its component has one.
+    It is the one with the smallest id, and of equal ids the one with the
+    smallest text hash. A row without an id stays only where no row of its
+    component has one. A row is found again by its id and text hash, so rows
+    that share an id, or have none, don't stand for each other.
     """
-    classes = near_duplicates(docs, key, text, radius)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    at = F.struct(docs[key].isNull().alias("none"), docs[key].alias("id"), F.xxhash64(docs[text]).alias("text"))
+    nodes = settle(docs.select(at.alias("at"), fingerprint(docs[text]).alias("fp")).groupBy("fp").agg(F.min("at").alias("at")))
+    roots = components(near_links(nodes.select("fp"), radius))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("at", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("at").alias("at")).select("at")
     # the row is packed, so that no column of docs can clash
-    packed = docs.select(docs[key].alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return packed.join(kept, packed["id"].eqNullSafe(kept["kept"]), "left_semi").dropDuplicates(["id"]).select("row.*")
+    packed = docs.select(at.alias("at"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return packed.join(kept, "at", "left_semi").dropDuplicates(["at"]).select("row.*")

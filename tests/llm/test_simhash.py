@@ -78,3 +78,12 @@ def test_edges(spark):
     assert [g for g in got if g[0] in "3579"] == [("3", "0" * 16, 3), ("5", "0" * 16, 3), ("7", two, 7), ("9", "0" * 16, 3)]
     assert got.count(("8", two, 7)) == 2 and len(got) == 7
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    alone = "no row with an id says what stands here"
+    one, two, three, four = ("the first text has words of its own", "another text speaks of quite other things", "nobody has ever said a third like this", "last come the words that only five has")
+    data = [(None, one), (None, alone), (None, alone), (None, two), (None, three), (3, three), (5, three), (5, four), (7, four.upper()), (8, None), (None, ""), (9, two + " "), (9, two)]
+    out = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = {(r.doc_id, (r.text or "").strip()) for r in out}
+    assert got == {(None, one), (None, alone), (9, two), (3, three), (5, four), (8, "")} and len(out) == 6
