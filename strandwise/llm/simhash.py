@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import resemblance
 from .common import settle
 
 RADIUS = 4
@@ -170,14 +171,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, that stay: exactly one of each component, whatever the ids are.
 
+    Components are those of fingerprints within the radius and of texts with a
+    similarity of 0.8 or more over shingles of five words, all of both.
+
     It is the one with the smallest id, and of equal ids the one with the
     smallest text hash. A row without an id stays only where no row of its
     component has one. A row is found again by its id and text hash, so rows
     that share an id, or have none, don't stand for each other.
     """
     at = F.struct(docs[key].isNull().alias("none"), docs[key].alias("id"), F.xxhash64(docs[text]).alias("text"))
-    nodes = settle(docs.select(at.alias("at"), fingerprint(docs[text]).alias("fp")).groupBy("fp").agg(F.min("at").alias("at")))
-    roots = components(near_links(nodes.select("fp"), radius))
+    marked = settle(docs.select(at.alias("at"), fingerprint(docs[text]).alias("fp")))
+    nodes = settle(marked.groupBy("fp").agg(F.min("at").alias("at")))
+    roots = settle(components(near_links(nodes.select("fp"), radius)))
+    roots = resemblance.alike_roots(docs, marked.select(F.col("at.text").alias("h"), "fp"), roots, components, text)
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("at", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("at").alias("at")).select("at")
     # the row is packed, so that no column of docs can clash

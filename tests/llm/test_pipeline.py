@@ -67,3 +67,14 @@ def test_stages_take_nulls_and_clashing_columns(spark):
         assert stage(spark, docs, SF).columns == docs.columns, name
         stage(spark, docs, SF).collect()
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_copies_beyond_the_fingerprints_radius_go(spark):
+    """Exact similarity of five-word shingles: none of the pairs of 0.8 or more keeps both of its texts."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id in (643, 770, 1, 255, 582, 875, 709, 944, 2, 3)").select("doc_id", "text")
+    words = {r.doc_id: r.text.encode().lower().split() for r in rows.collect()}
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, w in words.items()}
+    pairs = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    fps = {r.doc_id: simhash.fingerprint_of(r.text) for r in rows.collect()}
+    assert len(pairs) == 4 and all((fps[a] ^ fps[b]).bit_count() > 4 for a, b in pairs)
+    assert {r.doc_id for r in cp.near_duplicates(spark, rows, SF).collect()} == set(words) - {b for _, b in pairs}
