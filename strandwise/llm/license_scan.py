@@ -4,22 +4,25 @@ The automaton holds every substring of all templates and phrases. Streaming a
 file through it gives, at each word, the longest match that ends there (the
 matching statistics). Phrases are read off the matches directly. Long maximal
 matches are chained, in the order of file and template both, into spans that
-cover a share of a template.
+cover a share of a template, one for each copy of it that the file has. Part of
+a short notice says nothing without the licence's name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import PHRASES, TEMPLATES
+from .license_texts import NAMES, PHRASES, TEMPLATES
 
 #: Words of a match that may enter a chain; words of the file between two of one chain; least share of a template.
 MIN_MATCH, MAX_GAP, MIN_COVER = 4, 12, 0.6
+#: Least words of a template that a span covers, unless it covers it whole or its licence's name stands in it or NAME_GAP words on.
+MIN_COVERED, NAME_GAP = 14, 2
 #: UTF-8 bytes to words: A-Z to lower case, other ASCII but digits and letters to a space, all else as it is.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)
@@ -134,14 +137,19 @@ class Automaton:
         return sorted(places), matches
 
 
-def chain(automaton: Automaton, matches, max_gap: int) -> dict[int, tuple[float, int, int]]:
-    """Of each template, its best chain: share of the template covered, first and last word of the file (exclusive).
+def chains(
+    automaton: Automaton, matches, max_gap: int, min_cover: float, named: Callable[[int, int, int], bool] = lambda template, first, last: False
+) -> list[tuple[int, float, int, int]]:
+    """(template, share of it covered, first and last word of the file, the latter exclusive) of each span, by template and place.
 
     A chain joins matches that follow one another in the file, with at most
-    max_gap words between, and in the template; overlaps count once. Work is
-    at most the square of the places within a gap, which the templates bound.
+    max_gap words between, and in the template; overlaps count once. Of chains
+    of one template that overlap in the file the one that covers most is a
+    span, the first and then the shortest of those that tie. named tells
+    whether the template's licence is named there. Work is at most the square
+    of the places within a gap, which the templates bound.
     """
-    best: dict[int, tuple[float, int, int]] = {}
+    found: dict[int, list[tuple[int, int, int]]] = {}  # template: (covered, first, last)
     open_: dict[int, list[tuple[int, int, int, int]]] = {}  # template: (end in file, end in template, covered, start in file)
     for start, n, state in matches:
         for k, end in automaton.ends[state]:
@@ -155,10 +163,17 @@ def chain(automaton: Automaton, matches, max_gap: int) -> dict[int, tuple[float,
             # of chains that end alike in the template the best one is enough
             here = [x for x in here if x[1] != end or x[2] > covered] + [(start + n, end, covered, begun)]
             open_[k] = here
-            share = covered / len(automaton.sequences[k])
-            if share > best.get(k, (0.0, 0, 0))[0]:
-                best[k] = (share, begun, start + n)
-    return best
+            words = len(automaton.sequences[k])
+            if covered >= min_cover * words and (covered >= min(words, MIN_COVERED) or named(k, begun, start + n)):
+                found.setdefault(k, []).append((covered, begun, start + n))
+    spans = []
+    for k, of in sorted(found.items()):
+        taken: list[tuple[int, int, int]] = []
+        for covered, first, last in sorted(of, key=lambda x: (-x[0], x[1], x[2])):
+            if all(last <= a or first >= b for _, a, b in taken):
+                taken.append((covered, first, last))
+        spans += [(k, covered / len(automaton.sequences[k]), first, last) for covered, first, last in sorted(taken, key=lambda x: x[1])]
+    return spans
 
 
 def build(templates: dict[str, tuple[str, ...]] = TEMPLATES, phrases=PHRASES) -> tuple[Automaton, list[str], list[str]]:
@@ -176,7 +191,7 @@ COLUMNS = (
 def license_scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER
 ) -> DataFrame:
-    """One row per row of docs: phrase places, labels and covered template spans. A map over rows: nothing is shuffled.
+    """One row per row of docs: phrase places, labels and covered template spans (words, last exclusive). A map over rows: nothing is shuffled.
 
     Null, empty and wordless texts have no places: null first_word and
     last_word, empty labels, score 0. Words that tie or repeat count at every
@@ -184,15 +199,13 @@ def license_scan(
     carried. Texts of any length are streamed whole, one at a time.
     """
     automaton, template_labels, phrase_labels = build()
+    names = [{w.encode() for w in NAMES.get(label, ())} for label in template_labels]
 
     def one(t: str | None) -> tuple:
         words = words_of(t)
         places, matches = automaton.scan(words, min_match)
-        spans = [
-            (template_labels[k], first, last, round(share, 4))
-            for k, (share, first, last) in sorted(chain(automaton, matches, max_gap).items())
-            if share >= min_cover
-        ]
+        named = lambda k, first, last: bool(names[k]) and names[k] <= set(words[first : last + NAME_GAP])
+        spans = [(template_labels[k], first, last, round(share, 4)) for k, share, first, last in chains(automaton, matches, max_gap, min_cover, named)]
         base = {phrase_labels[p] for _, p in places}
         return (
             len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None,
@@ -212,4 +225,4 @@ def license_scan(
 
 
 def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")

@@ -74,3 +74,31 @@ def test_clean_documents_get_no_added_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = ls.license_scan(docs).collect()
     assert all(r.labels == r.base_labels for r in out if not r.n_base)
+
+
+def spans_of(spark, *texts):
+    rows = ls.license_scan(spark.createDataFrame([(k, t, None, None) for k, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
+    return [[(s.label, s.first, s.last) for s in r.spans] for r in rows]
+
+
+def test_parts_of_short_notices_name_no_licence(spark):
+    none = (
+        "This software is released under the BSD terms",
+        "under the terms of the GNU Free Documentation License",
+        "This work is licensed under a Creative License of our own",
+        "without warranties or conditions of any kind",
+        "permission is hereby granted to all who read on and to no one else",
+    )
+    assert spans_of(spark, *none) == [[]] * len(none)
+    assert spans_of(spark, "This software is released under the MIT License") == [[("mit", 0, 8)]]
+
+
+def test_every_copy_of_a_template_is_a_span(spark):
+    mit, bsd = TEMPLATES["mit"][0], TEMPLATES["bsd"][0]
+    n, m = len(ls.words_of(mit)), len(ls.words_of(bsd))
+    text = f"{mit} {'zq ' * 20} {mit} {bsd}"
+    assert spans_of(spark, text)[0] == [("mit", 0, n), ("mit", n + 20, 2 * n + 20), ("bsd", 2 * n + 20, 2 * n + 20 + m)]
+    row = ls.digests(ls.license_scan(spark.createDataFrame([(1, text, None, None)], SCHEMA))).first()
+    assert [(s.label, s.first, s.last, s.share) for s in row.spans] == [("mit", 0, n, 1.0), ("mit", n + 20, 2 * n + 20, 1.0), ("bsd", 2 * n + 20, 2 * n + 20 + m, 1.0)]
+    # back to back, they are two as well
+    assert spans_of(spark, f"{mit} {mit}")[0] == [("mit", 0, n), ("mit", n, 2 * n)]
