@@ -44,12 +44,47 @@ def test_edges(spark):
     assert added[13].startswith("pem:0:") and "jwt:" in added[14] and "assign:0:" in added[14]
 
 
-def test_ledger_scans_only_unseen_blobs(spark):
-    old = spark.createDataFrame([(1, "token=abcdefgh"), (2, "nothing")], "doc_id long, text string")
-    ledger = sec.scan_unseen(old)
-    now = spark.createDataFrame([(1, "token=abcdefgh"), (3, "token=abcdefgh"), (1, "secret=newer_version"), (4, "secret=newer_version")], "doc_id long, text string")
+def test_ledger_scans_only_unseen_blobs(spark, tmp_path):
+    schema, folder = "doc_id long, text string", f"{tmp_path}/ledger"
+    old = spark.createDataFrame([(1, "token=abcdefgh"), (2, "nothing")], schema)
+    assert sec.read_ledger(spark, folder).count() == 0
+    ledger = sec.update_ledger(old, folder)
+    assert ledger.count() == 2 and {r.rule_version for r in ledger.collect()} == {sec.RULE_VERSION}
+    now = spark.createDataFrame([(1, "token=abcdefgh"), (3, "token=abcdefgh"), (1, "secret=newer_version"), (4, "secret=newer_version")], schema)
     fresh = sec.scan_unseen(now, ledger)
     assert [r.blob for r in fresh.collect()] == [hashlib.sha256(b"secret=newer_version").hexdigest()]
     assert sec.scan_unseen(now, ledger, rules="other").count() == 2
-    out = digest(sec.secret_scan(now, ledger))
+    out = digest(sec.secret_scan(now, folder))
     assert len(out) == 4 and all(r[1] == 1 for r in out)
+    # what is in the ledger now is not scanned again, under other rules it is
+    assert sec.scan_unseen(now, sec.read_ledger(spark, folder)).count() == 0
+    assert sec.read_ledger(spark, folder).count() == 3
+    assert sec.update_ledger(now, folder, rules="other").count() == 5
+    assert digest(sec.secret_scan(now, folder)) == out
+
+
+def test_rule_version_follows_the_rules():
+    import importlib.util
+
+    source = open(sec.__file__).read()
+    for old, new in (("{32,}", "{33,}"), ("MIN_VALUE, MIN_ACCESS = 8, 16", "MIN_VALUE, MIN_ACCESS = 9, 16"), ('"AIza"', '"AIzb"')):
+        assert old in source
+        spec = importlib.util.spec_from_loader("strandwise.llm.changed", loader=None)
+        changed = importlib.util.module_from_spec(spec)
+        exec(compile(source.replace(old, new, 1), "changed", "exec"), changed.__dict__)
+        assert changed.RULE_VERSION != sec.RULE_VERSION
+
+
+def test_more_rules():
+    for kind, said in {
+        "google": "AIza" + "Ab1_-" * 7, "mail": "SG." + "a1B2" * 5 + "." + "c3D4" * 8, "package": "npm_" + "aB3" * 12,
+        "header": "Authorization: Bearer " + "x9Y." * 8, "url": "https://me:s3cret@h.example.org/", "hosted": "ghp_" + "a1" * 18,
+    }.items():
+        assert kind in {k for _, _, k, _ in sec.scan(f"it is {said} here")}, kind
+    assert sec.scan("A Basic understanding of the Bearer of the ring, SG. and npm_ at https://h.example.org:80/x") == []
+
+
+def test_a_hot_blob(spark):
+    data = [(k, "token=abcdefgh" if k % 3 else f"password={k:09d}") for k in range(3000)]
+    out = sec.secret_scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(out) == 3000 and all(r.n_assign == 1 for r in out)
