@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from strandwise.functions.text import nfkc
+
+from .iterate import settle
 
 EDGE_KEY = ["src", "tgt", "relation"]
 #: Confidence scores of an edge's evidence; search weights have a table of their own.
@@ -87,27 +90,76 @@ def undirected(edges: DataFrame) -> DataFrame:
     )
 
 
-def remap(edges: DataFrame, mapping: DataFrame, rounds: int = 2) -> DataFrame:
-    """Edges with endpoints replaced through (old, new), transitively up to `rounds`; loops that this makes go."""
+def resolve_mapping(mapping: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(old, new) followed to its end; an old id has one new one at most.
+
+    Each round doubles the steps that are taken at once, so chains of 2**64
+    end within the rounds, and only a cycle doesn't: it is an error.
+    """
+    at = settle(mapping.where("old != new"))
+    for _ in range(max_rounds):
+        on = at.select(F.col("old").alias("new"), F.col("new").alias("further"))
+        stepped = settle(at.join(on, "new", "left").select("old", F.coalesce("further", "new").alias("new"), F.col("further").isNotNull().alias("moved")))
+        at = stepped.select("old", "new")
+        if not stepped.where("old = new").isEmpty():
+            break
+        if stepped.where("moved").isEmpty():
+            return at
+    raise ValueError("a mapping of ids has a cycle")
+
+
+def remap(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Edges with endpoints replaced through (old, new), followed to its end; loops that this makes go, and those that were stay."""
+    final = resolve_mapping(mapping)
     out = edges.withColumn("was_loop", F.col("src") == F.col("tgt"))
-    for _ in range(rounds):
-        for end in ("src", "tgt"):
-            step = mapping.select(F.col("old").alias(end), F.col("new").alias("to"))
-            out = out.join(step, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    for end in ("src", "tgt"):
+        step = final.select(F.col("old").alias(end), F.col("new").alias("to"))
+        out = out.join(step, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
     return out.where("was_loop or src != tgt").drop("was_loop").select(*edges.columns)
 
 
+#: Ids that an extraction in chunks tells apart by a suffix.
+CHUNK_SUFFIX = r"_c\d+$"
+
+
+#: A label that is a code of its own, not a name.
+CODE_LABEL = r"^[A-Z0-9][A-Z0-9._/-]{1,11}$"
+
+
+def _label_key(nodes: DataFrame) -> DataFrame:
+    """Nodes with the key of their label (or id): letters and digits of its NFKC in lower case; without codes and ASCII keys of three or fewer."""
+    raw = F.trim(F.coalesce("label", "id"))
+    keyed = nodes.withColumn("norm", F.trim(F.regexp_replace(F.lower(nfkc(raw)), r"[^\p{L}\p{N}]+", " ")))
+    short = raw.rlike(r"^[\x20-\x7E]*$") & (F.length(F.replace("norm", F.lit(" "), F.lit(""))) <= 3)
+    return keyed.where((F.col("norm") != "") & ~short & ~raw.rlike(CODE_LABEL))
+
+
+def _to_preferred(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(old, new) within each key: ids without a chunk suffix first, then shorter, then smaller ones; an aggregate, so no group is gathered."""
+    order = F.struct(F.col("id").rlike(CHUNK_SUFFIX).alias("chunk"), F.length("id").alias("size"), F.col("id").alias("id"))
+    best = nodes.groupBy(*keys).agg(F.min(order)["id"].alias("new"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    same = [nodes[k].eqNullSafe(best[k]) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return nodes.join(best, on).where("id != new").select(F.col("id").alias("old"), "new")
+
+
 def canonical_labels(nodes: DataFrame) -> DataFrame:
-    """(old, new): nodes of one source with one label, case and spaces apart, go to the smallest id.
+    """(old, new) of nodes with one label, case, spaces and punctuation apart, in two passes.
 
-    Nodes with different registry identities never meet: where `registry` is
-    a column, it is part of the key.
+    First those of one source go to the preferred id; then, across sources,
+    those whose id has a chunk suffix go to the preferred one of the same
+    label. Nodes with different registry identities never meet: where
+    `registry` is a column, it is part of the key. Ids are followed to the
+    end, so none that is replaced stands as new.
     """
-    norm = F.trim(F.regexp_replace(F.lower("label"), r"[\W_]+", " "))
-    keys = ["source_file", "norm"] + (["registry"] if "registry" in nodes.columns else [])
-    by = W.partitionBy(*keys)
-    first = nodes.withColumn("norm", norm).where("norm != ''").withColumn("new", F.min("id").over(by))
-    return first.where("id != new").select(F.col("id").alias("old"), "new")
+    own = ["registry"] if "registry" in nodes.columns else []
+    labelled = _label_key(nodes)
+    first = settle(_to_preferred(labelled, ["source_file", "norm", *own]))
+    left = labelled.join(first.select(F.col("old").alias("id")), "id", "left_anti")
+    across = _to_preferred(left, ["norm", *own]).where(F.col("old").rlike(CHUNK_SUFFIX))
+    return resolve_mapping(first.unionByName(across))
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

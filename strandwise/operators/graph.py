@@ -1,12 +1,14 @@
 """Iterative graph operators: frontiers, paths, components, ranks, communities and closures.
 
 Every loop joins a frontier with the adjacency on the node and stops when the
-frontier is empty; a round is a shuffle of the frontier, not of what was
-visited before, and each round is settled in the shared folder.
+frontier is empty; each round is settled in the shared folder. A round shuffles
+the frontier's steps and the ids visited so far, against which they are held.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,12 +16,12 @@ from pyspark.sql import Window as W
 from .iterate import settle
 
 
-def bfs(adj: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(id, depth): nodes within `depth` steps of the starts (id), each at its least depth."""
+def bfs(adj: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, depth): nodes within `depth` steps of the starts (id), or within any, each at its least depth."""
     adj = settle(adj)  # read by every round
     seen = settle(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         reached = frontier.join(adj, "id").select(F.col("nbr").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         frontier = settle(reached.withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
@@ -28,12 +30,12 @@ def bfs(adj: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def multi_bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, id, depth) from every start at once, along directed edges (id, nbr)."""
+def multi_bfs(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, id, depth) from every start at once, along directed edges (id, nbr), up to a depth if one is given."""
     edges = settle(edges)  # read by every round
     seen = settle(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         reached = frontier.join(edges, "id").select("start", F.col("nbr").alias("id")).distinct()
         frontier = settle(reached.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
@@ -80,6 +82,8 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = pairs.select("id").unionByName(pairs.select(F.col("nbr").alias("id"))).distinct()
     return nodes.join(edges.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
@@ -171,12 +175,17 @@ def modularity(adj: DataFrame, membership: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("total") - F.pow(F.col("degree") / F.col("total"), 2)).alias("modularity"))
 
 
-def betweenness(adj: DataFrame, sources: DataFrame, max_depth: int = 12) -> DataFrame:
-    """(id, score): Brandes' dependencies summed over the sources, all of which advance together."""
+def betweenness(adj: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, score): Brandes' dependencies summed over the sources, all of which advance together.
+
+    The state is a row for each source and node that it reaches: give all
+    nodes as sources for exact scores of a small graph, a block of them at a
+    time, or a sample, for a large one; scores of blocks add up.
+    """
     adj = settle(adj)
     front = settle(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
     levels, seen = [front], front.select("s", "id")
-    for _ in range(max_depth):
+    while True:
         step = levels[-1].join(adj, "id").groupBy("s", F.col("nbr").alias("id")).agg(F.sum("paths").alias("paths"))
         nxt = settle(step.join(seen, ["s", "id"], "left_anti"))
         if nxt.isEmpty():
@@ -193,7 +202,7 @@ def betweenness(adj: DataFrame, sources: DataFrame, max_depth: int = 12) -> Data
     return total.where("s != id").groupBy("id").agg(F.sum("score").alias("score"))
 
 
-def hierarchy(arcs: DataFrame, max_depth: int = 32) -> DataFrame:
+def hierarchy(arcs: DataFrame) -> DataFrame:
     """(id, depth, path): each node below the roots of (parent, child) arcs with its ancestors, root first.
 
     A child of several parents takes the path smallest in order; an arc that
@@ -202,7 +211,7 @@ def hierarchy(arcs: DataFrame, max_depth: int = 32) -> DataFrame:
     parents, children = arcs.select(F.col("parent").alias("id")).distinct(), arcs.select(F.col("child").alias("id")).distinct()
     level = settle(parents.join(children, "id", "left_anti").select("id", F.array().cast("array<string>").alias("path")))
     out = level.withColumn("depth", F.lit(0))
-    for d in range(1, max_depth + 1):
+    for d in count(1):  # ends, since no level has a node of one before
         step = level.join(arcs, level["id"] == arcs["parent"]).select(F.col("child").alias("id"), F.concat("path", F.array("parent")).alias("path"))
         step = step.where(~F.array_contains("path", F.col("id"))).groupBy("id").agg(F.min("path").alias("path"))
         level = settle(step.join(out.select("id"), "id", "left_anti"))
@@ -212,10 +221,10 @@ def hierarchy(arcs: DataFrame, max_depth: int = 32) -> DataFrame:
     return out
 
 
-def merge_bases(parents: DataFrame, left: str, right: str, max_depth: int = 10_000) -> DataFrame:
+def merge_bases(parents: DataFrame, left: str, right: str) -> DataFrame:
     """(id): common ancestors of two commits that no other common ancestor descends from; parents: (id, nbr)."""
     spark = parents.sparkSession
-    reach = lambda x: bfs(parents, spark.createDataFrame([(x,)], "id string"), max_depth).select("id")
+    reach = lambda x: bfs(parents, spark.createDataFrame([(x,)], "id string")).select("id")
     common = settle(reach(left).intersect(reach(right)))
     dominated = common.join(parents, "id").select(F.col("nbr").alias("id")).distinct()
     return common.join(dominated, "id", "left_anti")

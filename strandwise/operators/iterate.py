@@ -5,11 +5,33 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+
+def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """df in the given total order with places from 1, numbered without one task that holds all.
+
+    Rows are sorted by range; a row's place is its number in its part plus the
+    sizes of the parts before, of which there are no more than partitions.
+    """
+    placed = settle(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(before), "_part")
+    return numbered.withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_part", "_at", "_before")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder; a temporary one is set only where spark.checkpoint.dir is unset."""
+    """Write df to the folder that the session's spark.checkpoint.dir names and cut its lineage there.
+
+    Where that is unset, a local session gets a temporary folder, and a
+    cluster, whose executors wouldn't see it, an error.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)

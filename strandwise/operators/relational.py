@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .iterate import ranked, settle
+
 
 def neighbours(edges: DataFrame, nodes: DataFrame, ids: list[str]) -> DataFrame:
     """(node, direction, relation, id, label): the out and in links of some nodes."""
@@ -86,11 +88,12 @@ def group_with_overflow(drafts: DataFrame, key: str, n: int) -> DataFrame:
 
     drafts: (key, file). Sizes are ranked, not rows.
     """
-    sizes = drafts.groupBy(key).agg(F.countDistinct("file").alias("files"))
-    ranked = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.desc("files"), key)))
-    total = sizes.agg(F.count(F.lit(1)).alias("groups"))
-    named = ranked.crossJoin(F.broadcast(total)).withColumn("kept", F.when((F.col("groups") <= n) | (F.col("rank") < n), F.col(key)).otherwise("overflow:mixed"))
-    return drafts.join(named.select(key, "kept"), key).groupBy(F.col("kept").alias(key)).agg(F.countDistinct("file").alias("files"))
+    sizes = settle(drafts.groupBy(key).agg(F.countDistinct("file").alias("files")))
+    if sizes.count() <= n:
+        return sizes
+    first = sizes.orderBy(F.desc("files"), key).limit(n - 1)  # a top list of n - 1 rows, which bounds the broadcast
+    named = drafts.join(F.broadcast(first.select(key, F.col(key).alias("kept"))), key, "left")
+    return named.groupBy(F.coalesce("kept", F.lit("overflow:mixed")).alias(key)).agg(F.countDistinct("file").alias("files"))
 
 
 def dominant(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -100,15 +103,36 @@ def dominant(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def remap_communities(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(community, previous): each new community takes the old one it shares most members with, where both prefer each other.
+    """(community, number): greedy one-to-one match of new communities with the old ones' numbers.
 
-    Mutual best matches are the pairs that a greedy one-to-one match takes
-    first; what is left keeps a null. Larger overlaps, then smaller numbers.
+    Pairs are taken by overlap, largest first, then by the smaller old number,
+    then by the smaller new one, each side once. In rounds, all pairs that are
+    the best of both their sides are taken at once, which is the same match.
+    Communities without one get the least numbers that no match took, larger
+    ones first, then by their smallest member.
     """
     both = new.select("id", "community").join(old.select("id", F.col("community").alias("previous")), "id").groupBy("community", "previous").agg(F.count(F.lit(1)).alias("n"))
-    a = both.withColumn("ra", F.row_number().over(W.partitionBy("community").orderBy(F.desc("n"), "previous")))
-    b = a.withColumn("rb", F.row_number().over(W.partitionBy("previous").orderBy(F.desc("n"), "community")))
-    return new.select("community").distinct().join(b.where("ra = 1 and rb = 1").select("community", "previous"), "community", "left")
+    left, matched = settle(both), None
+    while not left.isEmpty():
+        order = F.struct((-F.col("n")).alias("n"), "previous", "community")
+        by_new = left.groupBy("community").agg(F.min(order).alias("b")).select("b.*")
+        by_old = left.groupBy("previous").agg(F.min(order).alias("b")).select("b.*")
+        best = settle(by_new.intersect(by_old).select("community", "previous"))
+        matched = best if matched is None else matched.unionByName(best)
+        left = settle(left.join(best.select("community"), "community", "left_anti").join(best.select("previous"), "previous", "left_anti"))
+    sizes = new.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
+    if matched is None:
+        fresh = sizes
+    else:
+        fresh = sizes.join(matched.select("community"), "community", "left_anti")
+    fresh = ranked(fresh, F.desc("size"), "first", name="place").select("community", "place")
+    if matched is None:
+        return fresh.select("community", (F.col("place") - 1).cast("long").alias("number"))
+    # the place-th number that is free: as many as the places plus the taken ones below always hold it
+    taken = matched.select(F.col("previous").cast("long").alias("number"))
+    free = new.sparkSession.range(fresh.count() + taken.count()).select(F.col("id").alias("number")).join(taken, "number", "left_anti")
+    named = ranked(free, "number", name="place").join(fresh, "place").select("community", "number")
+    return matched.select("community", F.col("previous").cast("long").alias("number")).unionByName(named)
 
 
 def canonical_prefix(value: Column, synonyms: dict[str, str]) -> Column:

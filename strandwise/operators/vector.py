@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,22 +21,43 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", parts: int = 64, block: int = 1024) -> DataFrame:
+def _best(k: int, key: str):
+    """The k best of each query of a pack of queries among a pack of rows, by one matrix product."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, rows, asked, q in zip(batch["ids"], batch["vectors"], batch["asked"], batch["q"]):
+                a, b = np.stack(list(rows)).astype(float), np.stack(list(q)).astype(float)
+                norms = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None]
+                score = np.round(np.divide(b @ a.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
+                score[asked[:, None] == ids[None]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                line = np.repeat(np.arange(len(asked)), order.shape[1])
+                at = order.ravel()
+                found = pd.DataFrame({"query": asked[line], key: ids[at], "score": score[line, at]})
+                yield found[np.isfinite(found["score"])]
+
+    return search
+
+
+def _packs(rows: DataFrame, key: str, vector: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """Rows in packs of about `size`, dealt by hash."""
+    packs = max(1, -(-rows.count() // size))
+    dealt = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(packs)).alias("pack")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v"))).alias("m"))
+    return dealt.select(F.col("m.k").alias(names[0]), F.col("m.v").alias(names[1]))
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", size: int = 4096) -> DataFrame:
     """(query, key, score, rank): the k nearest rows of each query, without itself; smaller keys win ties.
 
-    Queries are taken in blocks of a bounded size, each of which is broadcast
-    to the scan. A part of the rows keeps its own k best of each query, so at
-    most parts x k rows of a query meet in the last ranking.
+    The stated query set meets all rows in packs of about `size`: a task holds
+    two of them, and gives the k best of each of its queries, so a query's last
+    ranking sees k rows of each pack. The plan is the same for any number.
+    A vector of norm 0 scores 0.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"))
-    n = q.count()
-    blocks = max(1, -(-n // block))
-    unit = rows.select(key, vector, (F.pmod(F.xxhash64(key), F.lit(parts))).alias("part"))
-    out = None
-    for b in range(blocks):
-        asked = F.broadcast(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
-        scored = unit.join(asked, F.col(key) != F.col("query")).select("query", key, "part", F.round(cosine(F.col(vector), F.col("q")), 6).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
-    order = [F.desc("score"), F.col(key)]
-    local = out.withColumn("rn", F.row_number().over(W.partitionBy("query", "part").orderBy(*order))).where(F.col("rn") <= k)
-    return local.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", key, "score", "rank")
+    asked = _packs(queries, key, vector, size, ("asked", "q"))
+    kind = dict(rows.dtypes)[key]
+    held = _packs(rows, key, vector, size, ("ids", "vectors"))
+    local = held.crossJoin(asked).mapInPandas(_best(k, key), f"query {kind}, {key} {kind}, score double")
+    ranked = local.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col(key))))
+    return ranked.where(F.col("rank") <= k).select("query", key, "score", "rank")

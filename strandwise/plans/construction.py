@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandwise.operators import analyze, build
+from strandwise.operators.iterate import ranked
 from strandwise.plans.registry import register
 from strandwise.sources import star
 
@@ -81,8 +82,7 @@ _BY_TYPE = "membership AS MATERIALIZED (SELECT id, dense_rank() OVER (ORDER BY s
 def by_folder(nodes: DataFrame) -> DataFrame:
     """A stand-in membership: the top folder's number in order."""
     names = nodes.select(analyze.top_dir(F.col("source_file")).alias("dir")).distinct()
-    numbered = names.withColumn("community", F.row_number().over(W.orderBy("dir")).cast("long"))
-    return nodes.withColumn("dir", analyze.top_dir(F.col("source_file"))).join(F.broadcast(numbered), "dir").select("id", "community")  # a row a folder
+    return nodes.withColumn("dir", analyze.top_dir(F.col("source_file"))).join(ranked(names, "dir", name="community"), "dir").select("id", "community")
 
 
 @query(
@@ -175,24 +175,38 @@ def g1_last_write_wins(spark, sf_dir):
     return build.merge_nodes(base.unionByName(later))
 
 
-_LABELS = """mapping AS (
-  SELECT id AS old, new FROM (SELECT id, min(id) OVER (PARTITION BY source_file, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'))) AS new FROM nodes WHERE node_type = 'part') WHERE id <> new)"""
+_LABELS = r"""chunked AS MATERIALIZED (SELECT CASE WHEN node_type = 'part' AND length(label) % 3 = 0 THEN id || '_c' || (length(label) % 7) ELSE id END AS id, label, source_file FROM nodes),
+keyed AS MATERIALIZED (SELECT *, regexp_matches(id, '_c[0-9]+$') AS chunk, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS norm FROM chunked WHERE NOT regexp_full_match(trim(label), '[A-Z0-9][A-Z0-9._/-]{1,11}')),
+named AS MATERIALIZED (SELECT * FROM keyed WHERE length(replace(norm, ' ', '')) > 3),
+one AS MATERIALIZED (SELECT id AS old, new FROM (SELECT id, first_value(id) OVER (PARTITION BY source_file, norm ORDER BY chunk, length(id), id) AS new FROM named) WHERE id <> new),
+two AS MATERIALIZED (SELECT id AS old, new FROM (SELECT id, chunk, first_value(id) OVER (PARTITION BY norm ORDER BY chunk, length(id), id) AS new FROM named WHERE id NOT IN (SELECT old FROM one)) WHERE id <> new AND chunk),
+mapping AS (SELECT one.old, coalesce(two.new, one.new) AS new FROM one LEFT JOIN two ON two.old = one.new UNION ALL SELECT old, new FROM two)"""
+
+
+def chunked_nodes(spark, sf_dir):
+    """All nodes; some ids have the suffix of an extraction in chunks."""
+    size = F.length("label")
+    some = F.when((F.col("node_type") == "part") & (size % 3 == 0), F.concat("id", F.lit("_c"), (size % 7).cast("string"))).otherwise(F.col("id"))
+    return star.nodes(spark, sf_dir).select(some.alias("id"), "label", "source_file")
 
 
 @query(f"WITH {star.ORACLE_NODES}, {_LABELS} SELECT old, new FROM mapping")
 def g2_label_dedup(spark, sf_dir):
-    return build.canonical_labels(star.nodes(spark, sf_dir).where("node_type = 'part'"))
+    return build.canonical_labels(chunked_nodes(spark, sf_dir))
 
 
 @query(
-    f"""WITH {star.ORACLE_NODES}, {star.ORACLE_EMISSIONS}, {_LABELS}
-SELECT coalesce(a.new, e.src) AS src, coalesce(b.new, e.tgt) AS tgt, relation, count(*) AS n FROM emissions e LEFT JOIN mapping a ON a.old = e.src LEFT JOIN mapping b ON b.old = e.tgt
-WHERE relation = 'CONTAINS' GROUP BY ALL"""
+    f"""WITH {star.ORACLE_EMISSIONS}, mapping AS (
+  SELECT 'supplier:' || s_suppkey AS old, 'supplier:' || CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS new FROM supplier WHERE s_suppkey > 2
+  UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation WHERE n_nationkey % 5 = 0)
+SELECT * FROM (SELECT coalesce(a.new, e.src) AS src, coalesce(b.new, e.tgt) AS tgt, relation, count(*) AS n FROM emissions e LEFT JOIN mapping a ON a.old = e.src LEFT JOIN mapping b ON b.old = e.tgt GROUP BY ALL) WHERE src <> tgt"""
 )
 def g3_remap_endpoints(spark, sf_dir):
-    mapping = build.canonical_labels(star.nodes(spark, sf_dir).where("node_type = 'part'"))
-    edges = star.emissions(spark, sf_dir).where("relation = 'CONTAINS'")
-    return build.remap(edges, mapping).groupBy(*build.EDGE_KEY).agg(F.count(F.lit(1)).alias("n"))
+    """All links; a supplier goes to the one two before it, and so on to the first two, some nations to their regions, which makes loops."""
+    key = F.col("s_suppkey")
+    chain = star.table(spark, sf_dir, "supplier").where(key > 2).select(star.node_id("supplier", "s_suppkey").alias("old"), F.concat(F.lit("supplier:"), (key - 2).cast("string")).alias("new"))
+    places = star.table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(star.node_id("nation", "n_nationkey").alias("old"), star.node_id("region", "n_regionkey").alias("new"))
+    return build.remap(star.emissions(spark, sf_dir), chain.unionByName(places)).groupBy(*build.EDGE_KEY).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

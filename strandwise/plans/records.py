@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandwise.operators import analyze, build, journal, relational, resolve, search
+from strandwise.operators.iterate import ranked
 from strandwise.plans.construction import by_folder
 from strandwise.plans.registry import register
 from strandwise.sources import star
@@ -62,13 +63,13 @@ def e5_group_counts(spark, sf_dir):
     return relational.group_counts(e, "event_type", e.where("event_id % 13 = 0").select("id"))
 
 
-_CITED = """cited AS (SELECT 'part:' || l_partkey AS node, 'm' || strftime(l_shipdate, '%Y-%m') AS source_file, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber::VARCHAR END AS page, CASE WHEN l_linenumber > 4 THEN l_returnflag END AS section, NULL::VARCHAR AS paragraph FROM lineitem WHERE l_quantity > 40),
+_CITED = """cited AS (SELECT 'part:' || l_partkey AS node, 'm' || strftime(l_shipdate, '%Y-%m') AS source_file, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber::VARCHAR END AS page, CASE WHEN l_linenumber > 4 THEN l_returnflag END AS section, NULL::VARCHAR AS paragraph FROM lineitem),
 u AS (SELECT DISTINCT node, source_file, coalesce(page, '') AS page, coalesce(section, '') AS section, '' AS paragraph FROM cited)"""
 
 
 def cited(spark, sf_dir):
     no = F.col("l_linenumber")
-    return t(spark, sf_dir, "lineitem").where("l_quantity > 40").select(
+    return t(spark, sf_dir, "lineitem").select(
         star.node_id("part", "l_partkey").alias("node"), F.concat(F.lit("m"), F.date_format("l_shipdate", "yyyy-MM")).alias("source_file"),
         F.when(no % 3 != 0, no.cast("string")).alias("page"), F.when(no > 4, F.col("l_returnflag")).alias("section"), F.lit(None).cast("string").alias("paragraph"),
     )
@@ -141,15 +142,21 @@ def e25_dominant_value(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT p_partkey AS id, p_brand AS community FROM part), o AS (SELECT p_partkey AS id, p_size % 7 AS previous FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT community, previous, count(*) AS n FROM n JOIN o USING (id) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, previous) AS ra, row_number() OVER (PARTITION BY previous ORDER BY n DESC, community) AS rb FROM b)
-SELECT c.community, coalesce(r.previous, -1)::INTEGER AS previous FROM (SELECT DISTINCT community FROM n) c LEFT JOIN r ON r.community = c.community AND ra = 1 AND rb = 1"""
+    """WITH RECURSIVE n AS MATERIALIZED (SELECT p_partkey AS id, p_brand AS community FROM part), o AS MATERIALIZED (SELECT p_partkey AS id, p_size % 17 * 2 AS previous FROM part WHERE p_partkey % 5 <> 0),
+b AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, previous, community) AS rn FROM (SELECT community, previous, count(*) AS n FROM n JOIN o USING (id) GROUP BY ALL)),
+g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS olds, []::VARCHAR[] AS news UNION ALL
+  SELECT i + 1, CASE WHEN list_contains(olds, previous) OR list_contains(news, community) THEN olds ELSE list_append(olds, previous) END,
+    CASE WHEN list_contains(olds, previous) OR list_contains(news, community) THEN news ELSE list_append(news, community) END FROM g JOIN b ON rn = i + 1),
+m AS (SELECT unnest(news) AS community, unnest(olds) AS number FROM g WHERE i = (SELECT max(i) FROM g)),
+fresh AS (SELECT community, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS place FROM n WHERE community NOT IN (SELECT community FROM m) GROUP BY community),
+free AS (SELECT number, row_number() OVER (ORDER BY number) AS place FROM range(100) r(number) WHERE number NOT IN (SELECT number FROM m))
+SELECT community, number::BIGINT AS number FROM m UNION ALL SELECT community, number::BIGINT FROM fresh JOIN free USING (place)"""
 )
 def d17_community_remap(spark, sf_dir):
     part = t(spark, sf_dir, "part")
     new = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("community"))
-    old = part.where("p_partkey % 5 != 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 7).alias("community"))
-    return relational.remap_communities(new, old).select("community", F.coalesce("previous", F.lit(-1)).cast("int").alias("previous"))
+    old = part.where("p_partkey % 5 != 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 17 * 2).alias("community"))
+    return relational.remap_communities(new, old)
 
 
 @query(
@@ -228,8 +235,7 @@ SELECT record_id, round(0.85::DOUBLE * share + 0.15::DOUBLE * recency, 6) AS sco
 )
 def f9_recall_ranking(spark, sf_dir):
     e = t(spark, sf_dir, "events").groupBy(star.node_id("user", "user_id").alias("record_id")).agg(F.max(star.epoch_ms("ts")).alias("t_end"), F.count(F.lit(1)).alias("n"))
-    ranked = e.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "record_id")))  # one list of records with scores
-    fused = search.fuse(ranked.select("record_id", "rank"), [], "record_id")
+    fused = search.fuse(ranked(e, F.desc("n"), "record_id").select("record_id", "rank"), [], "record_id")
     return journal.recall(fused, e.select("record_id", "t_end"), 1_709_000_000_000)
 
 

@@ -42,11 +42,11 @@ def j8_node_id(spark, sf_dir):
 
 @query(
     """SELECT page_id, substr(regexp_replace(html, '[\\x00-\\x1f\\x7f]', '', 'g'), 1, 256) AS label,
-replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped, greatest(1, length(html) // 4)::BIGINT AS tokens FROM pages"""
+replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped, greatest(1, length(html) // 4)::BIGINT AS tokens FROM pages"""
 )
 def j23_sanitise(spark, sf_dir):
     p = star.table(spark, sf_dir, "pages")
-    return p.select("page_id", tx.clean_label(F.col("html")).alias("label"), tx.escape_html(F.substring("html", 1, 200)).alias("escaped"), tx.token_estimate(F.col("html")).alias("tokens"))
+    return p.select("page_id", tx.clean_label(F.col("html")).alias("label"), tx.escape_html(F.col("html")).alias("escaped"), tx.token_estimate(F.col("html")).alias("tokens"))
 
 
 @query(
@@ -196,12 +196,12 @@ def i4_exact_matches(spark, sf_dir):
     return resolve.exact_matches(one(F.col("c_custkey") % 700, True).unionByName(one(F.col("c_custkey") * 7 % 1100, False)))
 
 
-_SUPPLY = "sup AS (SELECT DISTINCT 'supplier:' || l_suppkey AS id, 'part:' || (l_partkey % 400) AS nbr FROM lineitem WHERE l_quantity > 46 UNION SELECT DISTINCT 'part:' || (l_partkey % 400), 'supplier:' || l_suppkey FROM lineitem WHERE l_quantity > 46)"
+_SUPPLY = "sup AS (SELECT DISTINCT 'supplier:' || l_suppkey AS id, 'part:' || l_partkey AS nbr FROM lineitem UNION SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem)"
 
 
 def supply_adjacency(spark, sf_dir):
-    line = star.table(spark, sf_dir, "lineitem").where("l_quantity > 46")
-    a, b = star.node_id("supplier", "l_suppkey"), F.concat(F.lit("part:"), (F.col("l_partkey") % 400).cast("string"))
+    line = star.table(spark, sf_dir, "lineitem")
+    a, b = star.node_id("supplier", "l_suppkey"), star.node_id("part", "l_partkey")
     return line.select(a.alias("id"), b.alias("nbr")).unionByName(line.select(b.alias("id"), a.alias("nbr"))).distinct()
 
 

@@ -132,7 +132,7 @@ SELECT start, id, min(depth)::INTEGER AS depth FROM r GROUP BY start, id"""
 )
 def h20_reachability(spark, sf_dir):
     seeds = star.table(spark, sf_dir, "events").orderBy(F.desc("event_id")).limit(3).select(F.col("event_id").cast("string").alias("id"))
-    return graph.multi_bfs(commit_dag(spark, sf_dir), seeds, 64)
+    return graph.multi_bfs(commit_dag(spark, sf_dir), seeds)
 
 
 @query(
@@ -140,7 +140,7 @@ def h20_reachability(spark, sf_dir):
 SELECT id FROM common WHERE id NOT IN (SELECT nbr FROM common JOIN dag USING (id))"""
 )
 def g11_merge_bases(spark, sf_dir):
-    return graph.merge_bases(commit_dag(spark, sf_dir), "900", "611", 64)
+    return graph.merge_bases(commit_dag(spark, sf_dir), "900", "611")
 
 
 @query(
