@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -61,6 +62,51 @@ def node_id_part(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
 
 
+def parse_instant(value: Column) -> Column:
+    """Epoch milliseconds of an integer in JavaScript's range of dates, or of an ISO time with an explicit zone; null for all else."""
+    raw = F.trim(value)
+    number = raw.try_cast("long")
+    whole = raw.rlike(r"^-?(0|[1-9]\d*)$") & (F.abs(number) <= 8_640_000_000_000_000)
+    zoned = raw.rlike(r"(?i)^\d{4}-\d{2}-\d{2}T.+(Z|[+-]\d{2}:\d{2})$")
+    return F.when(whole, number).when(zoned, F.unix_millis(raw.try_cast("timestamp")))
+
+
+def commit_id(repo: Column, sha: Column) -> Column:
+    return F.concat(F.lit("commit:"), repo, F.lit("@"), sha)
+
+
+def branch_id(repo: Column, name: Column) -> Column:
+    return F.concat(F.lit("branch:"), repo, F.lit("#"), name)
+
+
+def request_id(repo: Column, number: Column) -> Column:
+    return F.concat(F.lit("pr:"), repo, F.lit("#"), number.cast("string"))
+
+
+def _canonical(value) -> str:
+    """JSON with the keys of every object in the order of their UTF-16 units, and whole numbers without a fraction."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_canonical(k)}:{_canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_canonical, value)) + "]"
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        value = int(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+@F.pandas_udf(T.StringType())
+def canonical_json(texts: pd.Series) -> pd.Series:
+    """Each JSON text in its canonical form; null for what is no JSON."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else _canonical(json.loads(t))
+        except ValueError:
+            return None
+
+    return texts.map(one)
+
+
 def clean_label(value: Column, size: int = 256) -> Column:
     """Without control characters, and of bounded length: a display label."""
     return F.substring(F.regexp_replace(value, r"[\x00-\x1f\x7f]", ""), 1, size)

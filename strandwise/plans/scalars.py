@@ -148,3 +148,33 @@ def j22_decimal_weights(spark, sf_dir):
 )
 def g5_simple_merge(spark, sf_dir):
     return t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min_by("o_orderstatus", "o_orderkey").alias("first_status"), F.max_by("o_orderpriority", "o_orderkey").alias("last_priority"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN epoch_us(ts) // 1000 WHEN 1 THEN epoch_us(ts) // 1000 WHEN 2 THEN epoch_us(ts) // 1000 - 7200000 END AS millis FROM events"""
+)
+def j14_timestamps(spark, sf_dir):
+    """Integers and times with a zone are instants; times without one, padded numbers and words aren't."""
+    k, iso = F.col("event_id") % 6, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    said = F.when(k == 0, star.epoch_ms("ts").cast("string")).when(k == 1, F.concat(iso, F.lit("Z"))).when(k == 2, F.concat(iso, F.lit("+02:00"))).when(k == 3, iso).when(k == 4, "007").otherwise("yesterday")
+    return t(spark, sf_dir, "events").select("event_id", tx.parse_instant(said).alias("millis"))
+
+
+@query(
+    """SELECT o_orderkey, '{"a":{"z":"' || o_orderstatus || '","é":' || o_custkey || '},"k":[' || o_orderkey || ',null],"p":"' || o_orderpriority || '"}' AS canonical FROM orders"""
+)
+def j15_canonical_json(spark, sf_dir):
+    """Keys sorted at every depth, whatever order they came in."""
+    text = F.format_string('{"p": "%s", "k": [%d.0, null], "a": {"z": "%s", "é": %d}}', "o_orderpriority", "o_orderkey", "o_orderstatus", "o_custkey")
+    return t(spark, sf_dir, "orders").select("o_orderkey", tx.canonical_json(text).alias("canonical"))
+
+
+@query(
+    """SELECT o_orderkey, 'commit:repo:local/' || o_orderstatus || '@' || md5(o_orderkey::VARCHAR) AS "commit", 'branch:repo:local/' || o_orderstatus || '#' || o_orderpriority AS branch, 'pr:repo:local/' || o_orderstatus || '#' || o_orderkey AS request FROM orders"""
+)
+def j27_ids(spark, sf_dir):
+    repo = F.concat(F.lit("repo:local/"), "o_orderstatus")
+    return t(spark, sf_dir, "orders").select(
+        "o_orderkey", tx.commit_id(repo, F.md5(F.col("o_orderkey").cast("string").cast("binary"))).alias("commit"),
+        tx.branch_id(repo, F.col("o_orderpriority")).alias("branch"), tx.request_id(repo, F.col("o_orderkey")).alias("request"),
+    )
