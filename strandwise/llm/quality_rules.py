@@ -18,6 +18,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 200
 FENCE = 6
+#: Groups whose fences, a hundred bytes each, may be broadcast; more are joined by group.
+BROADCAST_GROUPS = 100_000
 #: Signal: (least slack around the quartiles, cut above, cut below). Rates are
 #: per thousand words or lines; word_len is hundredths of a code point.
 SIGNALS = {
@@ -31,26 +33,21 @@ SIGNALS = {
 def _repeated_words(words: Column) -> Column:
     """Words in 3-word windows that the text has at least twice, each word counted once.
 
-    Sorts (window hash, place) within the row: linear memory and n log n time
-    for a text of any length, with no shuffle.
+    A text whose window hashes are all distinct has none. Else (window hash,
+    place) are sorted within the row: linear memory and n log n time for a text
+    of any length, with no shuffle.
     """
     n = F.size(words)
-    windows = F.when(
-        n >= 4,
-        F.array_sort(
-            F.transform(
-                F.sequence(F.lit(1), n - 2),
-                lambda i: F.struct(F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).alias("h"), i.alias("i")),
-            )
-        ),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    hashes = F.when(
+        n >= 4, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))
+    ).otherwise(F.array().cast("array<bigint>"))
 
     def covered(ordered: Column) -> Column:
         twice = F.filter(
             ordered,
             lambda e, k: (e["h"] == F.get(ordered, k - 1)["h"]) | (e["h"] == F.get(ordered, k + 1)["h"]),
         )
-        places = F.array_sort(F.transform(twice, lambda e: e["i"]))
+        places = F.sort_array(F.transform(twice, lambda e: e["i"]))
         step = F.aggregate(
             places,
             F.struct(F.lit(-2).alias("last"), F.lit(0).cast("long").alias("n")),
@@ -59,7 +56,8 @@ def _repeated_words(words: Column) -> Column:
         )
         return step
 
-    return let(windows, covered)
+    placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), (i + 1).alias("i"))))
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(placed(h), covered)))
 
 
 def base_signals(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -164,10 +162,13 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     A null language or source is a group of its own. Repeated rows stay
     repeated rows. Other columns, whatever their names, are not carried.
     Texts are read once and never shuffled; the counts are settled in the
-    shared folder, and the join with the fences moves only counts.
+    shared folder. The fences are broadcast up to BROADCAST_GROUPS groups, as
+    counted; beyond, counts meet them by group.
     """
     signals = settle(base_signals(docs, key, text, lang, source).select("*", *_rates()))
-    fences = thresholds(sketches(signals))
+    fences = settle(thresholds(sketches(signals)))
+    if fences.count() <= BROADCAST_GROUPS:
+        fences = F.broadcast(fences)
     fine = F.lit(True)
     for s, (_, above, below) in SIGNALS.items():
         if above:
