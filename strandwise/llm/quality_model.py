@@ -24,6 +24,8 @@ LABELLERS = ("symbols", "capitals", "clean_words", "short_words", "sentences", "
 BITS = 18
 #: Texts the scorer is fitted on at most: the expected size of the sample; twice that is a hard bound.
 SAMPLE = 6000
+#: Code points of a text that the scorer may be fitted on; longer ones are judged, but not drawn.
+SAMPLE_CHARS = 50_000
 #: Least score to be kept.
 LEAST = 0.5
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -177,7 +179,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     """Fit on docs: EM over all rows, the scorer on a sample of rows by the hash of their id.
 
     The driver gets the pattern counts and, from one task, the weights. The
-    sample is bounded by `sample` at any size of the corpus.
+    sample is at most the 2 * `sample` rows of least hash, of SAMPLE_CHARS
+    each, at any size of the corpus and however often an id repeats.
     """
     counts = {r.pattern: r.n for r in vote_patterns(docs, text).collect()}
     posterior, prior, accuracy = em(counts)
@@ -187,7 +190,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     share = min(2**32, int(2**32 * sample / total))
     drawn = (
         docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .where(F.pmod(F.xxhash64("id"), F.lit(2**32)) < share)
+        .where((F.pmod(F.xxhash64("id"), F.lit(2**32)) < share) & (F.length("text") <= SAMPLE_CHARS))
+        .orderBy(F.pmod(F.xxhash64("id"), F.lit(2**32)), F.xxhash64("id", "text"))
         .limit(2 * sample)
     )
 
