@@ -90,19 +90,17 @@ def undirected(edges: DataFrame) -> DataFrame:
     )
 
 
-def resolve_mapping(mapping: DataFrame, max_rounds: int = 64) -> DataFrame:
+def resolve_mapping(mapping: DataFrame) -> DataFrame:
     """(old, new) followed to its end; an old id has one new one at most.
 
-    Each round doubles the steps that are taken at once, so chains of 2**64
-    end within the rounds, and only a cycle doesn't: it is an error.
+    Each round doubles the steps that are taken at once, so n pairs without a
+    cycle end in log n rounds. What hasn't ended by then is a cycle, an error.
     """
     at = settle(mapping.where("old != new"))
-    for _ in range(max_rounds):
+    for _ in range(at.count().bit_length() + 1):
         on = at.select(F.col("old").alias("new"), F.col("new").alias("further"))
         stepped = settle(at.join(on, "new", "left").select("old", F.coalesce("further", "new").alias("new"), F.col("further").isNotNull().alias("moved")))
         at = stepped.select("old", "new")
-        if not stepped.where("old = new").isEmpty():
-            break
         if stepped.where("moved").isEmpty():
             return at
     raise ValueError("a mapping of ids has a cycle")

@@ -151,8 +151,8 @@ def f18_workspace_search(spark, sf_dir):
 r AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no) AS used FROM l) SELECT doc_id, count(*) AS kept, max(used)::BIGINT AS used FROM r WHERE used <= 600 GROUP BY doc_id"""
 )
 def f13_budgeted_lines(spark, sf_dir):
-    lines = star.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return search.cut_to_budget(lines, "doc_id", "no", 200).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.max("used").alias("used"))
+    cut = star.table(spark, sf_dir, "documents").select("doc_id", search.leading_lines(F.col("text"), 200).alias("cut"))
+    return cut.select("doc_id", "cut.kept", "cut.used").where("kept > 0")
 
 
 _PARTS = r"""parts AS (SELECT 'part:' || p_partkey AS id, p_type AS type, list_filter(string_split(regexp_replace(regexp_replace(lower(p_name), '\([^)]*\)', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda t: t <> '') AS tokens FROM part)"""
@@ -236,11 +236,8 @@ def d11_registry_linking(spark, sf_dir):
 @query()
 def d12_lexicon_detection(spark, sf_dir):
     """Hits of the test items' first two words in all texts; the items are the registry."""
-    items = star.table(spark, sf_dir, "benchmark").select(F.lower(F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ")).alias("term")).distinct()
-    terms = [r.term for r in items.where("length(term) > 4").collect()]  # the registry: a few hundred forms
-    return resolve.detect_lexicon(star.table(spark, sf_dir, "documents"), terms, "doc_id")
-
-
+    items = star.table(spark, sf_dir, "benchmark").select(F.lower(F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ")).alias("term"))
+    return resolve.detect_lexicon(star.table(spark, sf_dir, "documents"), items.where("length(term) > 4"), "doc_id")
 
 
 @query(

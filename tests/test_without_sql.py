@@ -31,8 +31,10 @@ def scan(text, terms):
 def test_lexicon_detection(spark):
     terms = ["new york", "new york city", "york", "city of", "a"]
     texts = [(1, "New York City of a yorkshire new yorkers"), (2, None), (3, "xnew york city"), (4, "a a york, a-york")]
-    got = sorted((r.id, r.term, r.start) for r in resolve.detect_lexicon(spark.createDataFrame(texts, "id long, text string"), terms).collect())
-    assert got == sorted((i, *h) for i, t in texts for h in scan(t, terms))
+    forms = spark.createDataFrame([(x,) for x in terms], "term string")
+    for size in (4_000_000, 12):
+        got = sorted((r.id, r.term, r.start) for r in resolve.detect_lexicon(spark.createDataFrame(texts, "id long, text string"), forms, lexicon_bytes=size).collect())
+        assert got == sorted((i, *h) for i, t in texts for h in scan(t, terms))
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {" ".join(r.text.split()[:2]).lower() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     items = [x for x in items if len(x) > 4]
