@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.5
 #: Characters cut at once, of however many texts; longer texts are a group of their own.
-GROUP = 1_000_000
+GROUP = 250_000
 #: Segments beyond this many characters are filtered one by one, with rescaling.
 LONG = 64
 _ONE = 1 << 31

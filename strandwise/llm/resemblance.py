@@ -1,12 +1,18 @@
-"""Pairs of texts with like shingles, by an exact prefix filter.
+"""Components of texts with like shingles, by an exact prefix filter.
 
 A text is the set of its shingles of WIDTH words. With all shingles in one order,
 two sets of a Jaccard similarity of LEAST or more share one among the first
 n - ceil(LEAST * n) + 1 of each, n being a set's size. Any order will do; here
 shingles that a sample of the texts has often come last, so that few texts meet
-by one that many have. Pairs that meet are bounded by how many first shingles
-they share, and those that remain are compared whole: no pair is missed, and
-none is guessed.
+by one that many have.
+
+Two rounds look for links. In the first, each bucket's texts are compared with
+one of them alone, which joins most of a large group of near copies at the cost
+of its size. In the second, all texts that meet and are of different components
+by then are compared, large buckets in blocks. A pair is compared whole only if
+its sketches allow it: a sketch is as many bits as SKETCH, each shingle turning
+one of them over, so two sketches differ in no more bits than their sets do in
+shingles. No pair is missed, and none is guessed.
 """
 
 from __future__ import annotations
@@ -16,9 +22,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import settle
 
@@ -26,26 +33,44 @@ WIDTH = 5
 #: The least similarity, in tenths.
 LEAST = 8
 SEED = 42
+#: Bits of a sketch; texts of one bucket that are compared in one block.
+SKETCH, BLOCK = 1024, 2048
 #: Texts sampled for the order of shingles, and how often a common shingle is in them. They decide the cost, not the result.
 SAMPLE, OFTEN = 8000, 3
 #: Hashes of common shingles that the order may name, and of texts to be compared that may be broadcast.
 COMMON, BROADCAST_TEXTS = 200_000, 1_000_000
 _LATE = np.int64(1) << np.int64(62)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles_of(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingles' hashes of 62 bits, in order; none for a blank text."""
-    words = (text or "").encode().lower().split()
+def shingles_of(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles' hashes of 62 bits, in order; none for no words. A shingle's hash mixes those of its words, in their order."""
     if not words:
         return np.empty(0, dtype=np.int64)
-    shingles = [b" ".join(words)] if len(words) <= width else map(b" ".join, zip(*(words[k:] for k in range(width))))
     digest = xxhash.xxh64_intdigest
-    return np.unique((np.fromiter((digest(s, SEED) for s in shingles), dtype=np.uint64) >> np.uint64(2)).astype(np.int64))
+    codes = {w: digest(w, SEED) for w in set(words)}
+    own = np.fromiter(map(codes.__getitem__, words), dtype=np.uint64, count=len(words))
+    n = max(1, len(words) - width + 1)
+    with np.errstate(over="ignore"):
+        mixed = np.zeros(n, dtype=np.uint64)
+        for k in range(min(width, len(words))):
+            mixed = (mixed ^ own[k : k + n]) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+    return np.unique((mixed >> np.uint64(2)).astype(np.int64))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    odd = (np.bincount(shingles & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def shingles(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingles_of(t) for t in texts], dtype=object)
+    return pd.Series([shingles_of(words_of(t)) for t in texts], dtype=object)
 
 
 def prefix_size(n: int) -> int:
@@ -60,34 +85,54 @@ def common_shingles(texts: DataFrame, n: int) -> np.ndarray:
     return np.sort(found.to_numpy(dtype=np.int64))
 
 
-def _first(text: str | None, common: np.ndarray) -> tuple[int, np.ndarray]:
-    """The size of the text's set, and its first shingles in the order."""
-    s = shingles_of(text)
+def first_shingles(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A set's first shingles in the order."""
     late = np.zeros(len(s), dtype=bool) if not len(common) else common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-    return len(s), np.concatenate((s[~late], s[late] + _LATE))[: prefix_size(len(s))]
+    return np.concatenate((s[~late], s[late] + _LATE))[: prefix_size(len(s))]
+
+
+#: What is known of a text: the set's size, its sketch and its first shingles.
+MARK = [T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("firsts", T.ArrayType(T.LongType()))]
+
+
+def mark_of(words: list[bytes], common: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    s = shingles_of(words)
+    return len(s), sketch_of(s), first_shingles(s, common)
 
 
 def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of different components in each bucket, and how many first shingles they share at least if they are alike."""
+    """Pairs (a, b) of different components in each block, whose sketches allow them to be alike, and how many first shingles they then share at least.
+
+    A block has the members of one or two parts of a bucket. Where `across`, it
+    is two, and only pairs between them are compared.
+    """
     columns = ["a", "b", "least"]
     for batch in batches:
         found, held = [], 0
-        for h, n, last, root in zip(batch["h"], batch["n"], batch["last"], batch["root"]):
-            order = np.argsort(h)
-            h, n, last, root = h[order], n[order], last[order], root[order]
+        for across, sketch, *rows in zip(*(batch[c] for c in ("across", "sketch", "h", "n", "last", "root", "part"))):
+            order = np.argsort(rows[0])
+            h, n, last, root, part = (x[order] for x in rows)
+            bits = np.stack(list(sketch)).view(np.uint64)[order]  # of signed numbers, bits of the absolute value would count
             rest = n - (n - -(-LEAST * n // 10) + 1)
             for i in range(len(h) - 1):
-                j = slice(i + 1, None)
-                fit = (root[j] != root[i]) & (10 * np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j]))
-                if fit.any():
-                    needed = -(-LEAST * (n[i] + n[j]) // (10 + LEAST))
-                    # the prefix that ends first is seen whole in the other; what lies beyond it may all be shared
-                    unseen = np.where(last[i] <= last[j], rest[i], rest[j])
-                    found.append((np.full(fit.sum(), h[i]), h[j][fit], np.maximum(1, needed - unseen)[fit]))
-                    held += len(found[-1][0])
-                    if held > 500_000:
-                        yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*found)))))
-                        found, held = [], 0
+                fit = (root[i + 1 :] != root[i]) & (10 * np.minimum(n[i], n[i + 1 :]) >= LEAST * np.maximum(n[i], n[i + 1 :]))
+                if across:
+                    fit &= part[i + 1 :] != part[i]
+                j = np.flatnonzero(fit) + i + 1
+                if not len(j):
+                    continue
+                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                j = j[(10 + LEAST) * differ <= (10 - LEAST) * (n[i] + n[j])]
+                if not len(j):
+                    continue
+                needed = -(-LEAST * (n[i] + n[j]) // (10 + LEAST))
+                # the prefix that ends first is seen whole in the other; what lies beyond it may all be shared
+                unseen = np.where(last[i] <= last[j], rest[i], rest[j])
+                found.append((np.full(len(j), h[i]), h[j], np.maximum(1, needed - unseen)))
+                held += len(j)
+                if held > 500_000:
+                    yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*found)))))
+                    found, held = [], 0
         if found:
             yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*found)))))
 
@@ -97,49 +142,57 @@ def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted, "h", "left_semi")
 
 
-def alike_roots(docs: DataFrame, marked: DataFrame, roots: DataFrame, components: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
-    """The components (node, root) of the fingerprints when all texts that are alike are linked too.
+def _allowed(a: str, b: str) -> Column:
+    """Whether two sketches and sizes allow the similarity."""
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    odd = F.zip_with(f"{a}_sketch", f"{b}_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(odd, F.lit(0), lambda acc, x: acc + x)
+    return (10 * F.least(n, m) >= LEAST * F.greatest(n, m)) & ((10 + LEAST) * differ <= (10 - LEAST) * (n + m))
 
-    marked has the text hash h and the fingerprint fp of each row of docs;
-    roots are the components so far, within which nothing is compared. Hashes
-    are shuffled, and the sets of the texts that are compared whole.
-    """
-    texts = docs.select(F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"))
-    common = common_shingles(texts, marked.count())
-
-    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            firsts = [_first(t, common)[1] for t in batch["text"]]
-            if firsts:
-                yield pd.DataFrame({"s": np.concatenate(firsts), "h": np.repeat(batch["h"].to_numpy(), [len(f) for f in firsts])})
-
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            firsts = [_first(t, common) for t in batch["text"]]
-            yield pd.DataFrame({"h": batch["h"], "n": [n for n, _ in firsts], "last": [f[-1] for _, f in firsts]})
-
-    gathered = texts.mapInPandas(starts, "s long, h long").groupBy("s").agg(F.collect_set("h").alias("h")).where(F.size("h") > 1)
-    met = settle(gathered).select("s", F.explode("h").alias("h"))
-    wanted = settle(met.select("h").distinct())
-    known = _only(texts, wanted).mapInPandas(ends, "h long, n long, last long").dropDuplicates(["h"])
-    sized = settle(known.join(marked.select("h", "fp").distinct(), "h"))
-    links = _links(texts, met, sized, roots)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-
-
-def _links(texts: DataFrame, met: DataFrame, sized: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links (a, b) between fingerprints of different components whose texts meet and are alike."""
-    named = sized.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("h", "n", "last", F.coalesce("root", "fp").alias("root"))
-    buckets = (
-        met.join(named, "h").groupBy("s")
-        .agg(F.collect_list(F.struct("h", "n", "last", "root")).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low != high").select(*[F.col("m")[c].alias(c) for c in ("h", "n", "last", "root")])
-    )
-    shared = buckets.mapInPandas(meetings, "a long, b long, least long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least"))
-    pairs = settle(shared.where("k >= least").select("a", "b"))
+
+def _verified(pairs: DataFrame, texts: DataFrame, info: DataFrame) -> DataFrame:
+    """Links (a, b) between the fingerprints of those pairs (a, b) of text hashes whose sets are alike."""
+    pairs = settle(pairs)
     compared = _only(texts, settle(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())).dropDuplicates(["h"])
-    whole = settle(compared.select("h", shingles("text").alias("set")).join(sized.select("h", "fp"), "h"))
+    whole = settle(compared.select("h", shingles("text").alias("set")).join(info.select("h", "fp"), "h"))
     side = lambda x: whole.select(F.col("h").alias(x), F.col("set").alias(f"{x}_set"), F.col("fp").alias(f"{x}_fp"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     like = (10 + LEAST) * both >= LEAST * (F.size("a_set") + F.size("b_set"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(like).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
+
+
+def alike_roots(texts: DataFrame, marked: DataFrame, links: DataFrame, components: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
+    """The components (node, root) of fingerprints by the links (a, b) given and those of all texts that are alike.
+
+    texts: (h, text). marked: (h, fp, n, sketch, firsts), a row for each row
+    of the corpus. Hashes are shuffled, sketches of texts that meet, and the
+    sets of those that are compared whole.
+    """
+    # one shuffle of sixteen bytes a first shingle; what passes a task of a common one is those, and may spill
+    by = W.partitionBy("s")
+    placed = marked.select("h", F.explode("firsts").alias("s")).select("s", "h", F.min("h").over(by).alias("hub"), F.max("h").over(by).alias("top"))
+    met = settle(placed.where("hub != top").select("s", "h", "hub").distinct())
+    known = marked.select("h", "fp", "n", "sketch", F.try_element_at("firsts", F.lit(-1)).alias("last")).join(met.select("h").distinct(), "h", "left_semi")
+    info = settle(known.groupBy("h").agg(*[F.min(c).alias(c) for c in ("fp", "n", "sketch", "last")]))
+    side = lambda x: info.select(F.col("h").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    # a hint only: what this round leaves out the next one finds. Sketches of sets much larger than they are say little
+    stars = met.where("h != hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
+    near = stars.join(side("a"), "a").join(side("b"), "b").where(f"a_fp != b_fp and a_n + b_n <= {4 * SKETCH}").where(_allowed("a", "b"))
+    roots = settle(components(links.unionByName(_verified(near.select("a", "b"), texts, info))))
+    named = info.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    inside = met.select("s", "h").join(named.select("h", "root"), "h")
+    mixed = inside.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    members = met.select("s", "h").join(mixed.select("s", "size"), "s").join(named.select("h", "n", "last", "root", "sketch"), "h")
+    # a bucket's members are dealt into parts, and each pair of parts is a block
+    parts = F.ceil(F.col("size") / block).cast("int")
+    dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("h"), parts.cast("long")).cast("int"))
+    pair = lambda other: F.struct(F.least("part", other).alias("x"), F.greatest("part", other).alias("y"))
+    blocks = (
+        dealt.select("s", "h", "n", "last", "root", "sketch", "part", F.inline(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), pair)))
+        .groupBy("s", "x", "y")
+        .agg(F.collect_list(F.struct("h", "n", "last", "root", "sketch", "part")).alias("m"))
+        .select((F.col("x") != F.col("y")).alias("across"), *[F.col("m")[c].alias(c) for c in ("h", "n", "last", "root", "sketch", "part")])
+    )
+    counted = blocks.mapInPandas(meetings, "a long, b long, least long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least"))
+    more = _verified(counted.where("k >= least").select("a", "b"), texts, info)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

@@ -27,10 +27,15 @@ SHINGLE = 4
 SEED = 42
 #: Distinct fingerprints above which a bucket is split by a second family of masks.
 LARGE_BUCKET = 2048
+#: Rows that go, or that are alike in id and text, whose keys may be broadcast to where the texts are.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint_of(text: str | None, width: int = SHINGLE) -> int:
-    words = (text or "").encode().lower().split()
+    return fingerprint_of_words(resemblance.words_of(text), width)
+
+
+def fingerprint_of_words(words: list[bytes], width: int = SHINGLE) -> int:
     if not words:
         return 0
     if len(words) <= width:
@@ -177,15 +182,41 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     It is the one with the smallest id, and of equal ids the one with the
     smallest text hash. A row without an id stays only where no row of its
     component has one. A row is found again by its id and text hash, so rows
-    that share an id, or have none, don't stand for each other.
+    that share an id, or have none, don't stand for each other. Texts are not
+    shuffled, but for those alike in id and text, as long as the keys of what
+    goes are few enough to be broadcast.
     """
     at = F.struct(docs[key].isNull().alias("none"), docs[key].alias("id"), F.xxhash64(docs[text]).alias("text"))
-    marked = settle(docs.select(at.alias("at"), fingerprint(docs[text]).alias("fp")))
+    texts = docs.select(F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"))
+    common = resemblance.common_shingles(texts, docs.count())
+
+    @F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), *resemblance.MARK]))
+    def mark(said: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in said:
+            words = resemblance.words_of(t)
+            fp = fingerprint_of_words(words)
+            rows.append((fp - (fp >> 63 << 64), *resemblance.mark_of(words, common)))
+        return pd.DataFrame(rows, columns=["fp", "n", "sketch", "firsts"])
+
+    marked = settle(docs.select(at.alias("at"), mark(docs[text]).alias("mark")).select("at", "mark.*"))
     nodes = settle(marked.groupBy("fp").agg(F.min("at").alias("at")))
-    roots = settle(components(near_links(nodes.select("fp"), radius)))
-    roots = resemblance.alike_roots(docs, marked.select(F.col("at.text").alias("h"), "fp"), roots, components, text)
+    links = near_links(nodes.select("fp"), radius)
+    roots = resemblance.alike_roots(texts, marked.select(F.col("at.text").alias("h"), "fp", "n", "sketch", "firsts"), links, components)
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("at", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("at").alias("at")).select("at")
+    counted = marked.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    gone = settle(counted.select("at").join(kept, "at", "left_anti"))
+    again = settle(counted.where("n > 1").select("at").join(kept, "at", "left_semi"))  # rows alike in id and text
     # the row is packed, so that no column of docs can clash
     packed = docs.select(at.alias("at"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return packed.join(kept, "at", "left_semi").dropDuplicates(["at"]).select("row.*")
+    left = packed.join(_small(gone), "at", "left_anti")
+    if again.isEmpty():
+        return left.select("row.*")
+    once = left.join(_small(again), "at", "left_anti").unionByName(left.join(_small(again), "at", "left_semi").dropDuplicates(["at"]))
+    return once.select("row.*")
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Keys to be broadcast up to a measured number, of forty bytes each; beyond, rows meet them by key."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

@@ -1,9 +1,22 @@
+import random
+from collections import Counter
+
 import corpus_pipeline as cp
-from strandwise.llm import decontaminate, quality_model, secret_scan, simhash
+from pyspark.sql import functions as F
+from strandwise.llm import decontaminate, quality_model, resemblance, secret_scan, simhash
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def alike(a, b):
+    return bool(a) and 5 * len(a & b) >= 4 * len(a | b)
+
+
 def test_stages_against_their_operators(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -19,12 +32,13 @@ def test_stages_against_their_operators(spark, tmp_path):
             want = {r.doc_id for r in quality_model.quality_scores(docs).where("kept").collect()}
         elif name == "simhash_near_dedup":
             fps = {d: simhash.fingerprint_of(t) for d, t in rows.items()}
+            sets = {d: shingles(t) for d, t in rows.items()}
             root = {d: d for d in rows}
             changed = True
             while changed:
                 changed = False
                 for a in rows:
-                    least = min(root[b] for b in rows if (fps[a] ^ fps[b]).bit_count() <= 4)
+                    least = min(root[b] for b in rows if (fps[a] ^ fps[b]).bit_count() <= 4 or alike(sets[a], sets[b]))
                     changed |= least < root[a]
                     root[a] = min(root[a], least)
             want = {d for d in rows if root[d] == d}
@@ -69,6 +83,63 @@ def test_stages_take_nulls_and_clashing_columns(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_stages_keep_rows_of_null_and_repeated_ids(spark):
+    """No stage takes one row for another because they share an id, or have none."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 400").limit(60)
+    first = cp.quality(spark, docs, SF)
+    odd = first.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, 7).otherwise(F.col("doc_id")))
+    said = lambda df: Counter(r.text for r in df.collect())
+    for name, stage in cp.STAGES[1:4]:
+        assert said(stage(spark, odd, SF)) == said(stage(spark, first, SF)), name
+    assert stage(spark, odd, SF).where("doc_id is null").count() > 5
+    assert cp.pieces(spark, odd, SF).count() == odd.count()
+
+
+def near_group(draw, base, n, edits):
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for k in draw.sample(range(len(base)), edits):
+            words[k] = f"x{draw.randrange(10**9)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_similar_texts_against_brute_force(spark, monkeypatch):
+    """Groups of near copies around the bound, in buckets of one block and of many: the components are those of all pairs."""
+    draw = random.Random(11)
+    bases = [[f"w{g}v{draw.randrange(400)}" for _ in range(n)] for g, n in enumerate((60, 90, 140, 30))]
+    texts = [t for base in bases for edits in (1, 2, 3, 5) for t in near_group(draw, base, 12, edits)]
+    texts += [" ".join(b) for b in bases[:2]] + ["a b", "a b c", "one two three four five"] + [f"{t} and a tail" for t in texts[::9]]
+    texts = list(dict.fromkeys(texts))
+    sets = [shingles(t) for t in texts]
+    fps = [simhash.fingerprint_of(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 4:
+                root[find(i)] = find(j)
+    want = Counter(Counter(find(i) for i in range(len(texts))).values())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block, often in ((2048, 3), (5, 3), (5, 10**9)):
+        monkeypatch.setattr(resemblance, "OFTEN", often)
+        held = {}
+        original = resemblance.alike_roots
+        monkeypatch.setattr(resemblance, "alike_roots", lambda *a, **k: held.setdefault("roots", original(*a, block=block, **k)))
+        kept = simhash.keep_one(docs).count()
+        roots = {r.node: r.root for r in held["roots"].collect()}
+        signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+        assert kept == sum(want.values())
+        assert Counter(Counter(roots.get(f, f) for f in signed).values()) == want
+        monkeypatch.setattr(resemblance, "alike_roots", original)
+
+
 def test_near_copies_beyond_the_fingerprints_radius_go(spark):
     """Exact similarity of five-word shingles: none of the pairs of 0.8 or more keeps both of its texts."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id in (643, 770, 1, 255, 582, 875, 709, 944, 2, 3)").select("doc_id", "text")
