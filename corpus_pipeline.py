@@ -47,6 +47,9 @@ STAGES = [
     ("sentencepiece", pieces),
 ]
 
+#: Texts that a Python worker holds at once.
+BATCH_ROWS = 1000
+
 #: SQL can't express the trained classifier; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -55,7 +58,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    finally:
+        spark.conf.set(setting, before)
     return docs
