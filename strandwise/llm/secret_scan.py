@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, shared_folder
+from .common import shared_folder
 
 
 def _either(word: str) -> str:
