@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from strandwise.operators import analyze, build, journal, relational, resolve, search
 from strandwise.operators.iterate import ranked
