@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, license_scan, piece_sampling, quality_model, quality_rules, secret_scan, sharding, simhash
+from . import chat, decontaminate, fill_middle, html_text, language_id, license_scan, piece_sampling, quality_model, quality_rules, secret_scan, sharding, simhash, word_runs
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digests(word_runs.word_runs(word_runs.with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_ids(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_quality_rules": op2_quality_rules,
@@ -61,10 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_word_runs": op11_word_runs,
+    "op12_language_id": op12_language_id,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op9_sharding": sharding.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
 }
