@@ -26,6 +26,8 @@ BITS, GRAMS, CENTROIDS, ROUNDS = 13, 3, 4, 2
 SAMPLE = 256
 #: Share of labelled texts that their own language's thresholds let pass, and labelled texts a length class has for a threshold of its own.
 PASS, LEAST_CLASS = 0.999, 100
+#: How much further than these a text may be before it is rejected.
+SLACK = 0.02
 UNDETERMINED = "und"
 #: One in fixed-point sums.
 UNIT = 1 << 20
@@ -91,7 +93,7 @@ class Model:
         best = int(near.argmax())
         language, score = self.languages[best], min(1.0, max(0.0, float(near[best])))
         limit = self.limits.get((language, size_class(letters)), self.limits.get((language, -1), 2.0))
-        return language, round(score, 6), 1 - score > limit
+        return language, round(score, 6), 1 - score > limit + SLACK
 
 
 def _summed(parts: DataFrame, *keys: str) -> DataFrame:
