@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandwise.operators import grounding
+from strandwise.operators import grounding, revisions
 from strandwise.plans.registry import register
 from strandwise.sources import star
 
@@ -31,3 +31,59 @@ def document_sources(spark, sf_dir):
 @query()
 def i10_citation_grounding(spark, sf_dir):
     return grounding.ground(item_nodes(spark, sf_dir), document_sources(spark, sf_dir))[0]
+
+
+def document_history(spark, sf_dir):
+    """(tree, blobs, parents): five commits over all documents, made of their lines by the first digit of their digests.
+
+    c0 lacks the lines of digits 0 to 3; c1 has those of 0 and 1, c2 those of 2
+    and 3; c3 merges both; c4 repeats the first line at the end.
+    """
+    docs = star.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+    without = lambda digits: F.filter("l", lambda x: ~F.substring(F.md5(x.cast("binary")), 1, 1).isin(*digits))
+    versions = {"c0": without("0123"), "c1": without("23"), "c2": without("01"), "c3": F.col("l"), "c4": F.concat("l", F.slice("l", 1, 1))}
+    each = F.array(*[F.struct(F.lit(c).alias("commit"), F.array_join(F.transform(v, lambda x: F.concat(x, F.lit("\n"))), "").alias("text")) for c, v in versions.items()])
+    files = docs.select("path", F.inline(each)).withColumn("oid", F.sha2(F.col("text").cast("binary"), 256))
+    parents = spark.createDataFrame([("c1", "c0", 0), ("c2", "c0", 0), ("c3", "c1", 0), ("c3", "c2", 1), ("c4", "c3", 0)], "commit string, parent string, nth int")
+    return files.select("commit", "path", "oid"), files.select("oid", "text").dropDuplicates(["oid"]), parents
+
+
+_LINES = "lines AS (SELECT 'doc/' || doc_id AS path, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents)"
+
+
+@query(
+    f"""WITH {_LINES}, origins AS (
+  SELECT path, CASE WHEN substr(md5(line), 1, 1) IN ('0', '1') THEN 'c1' WHEN substr(md5(line), 1, 1) IN ('2', '3') THEN 'c2' ELSE 'c0' END AS origin FROM lines
+  UNION ALL SELECT DISTINCT path, 'c4' FROM lines)
+SELECT path, origin, count(*)::BIGINT AS n_lines FROM origins GROUP BY ALL"""
+)
+def k16_line_attribution(spark, sf_dir):
+    tree, blobs, parents = document_history(spark, sf_dir)
+    found = revisions.attribute_lines(tree, blobs, parents)
+    return found.where("commit = 'c4'").groupBy("path", "origin").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(
+    f"""WITH {_LINES}, counted AS (
+  SELECT path, count(*) + 1 - count(*) FILTER (substr(md5(line), 1, 1) NOT IN ('0', '1', '2', '3')) AS added,
+    string_agg(line || chr(10), '' ORDER BY no) || min(line || chr(10)) FILTER (no = 0) AS applied FROM lines GROUP BY path)
+SELECT path, added::BIGINT AS added, 0::BIGINT AS removed, sha256(applied) AS applied_sha256 FROM counted"""
+)
+def k16_text_diffs(spark, sf_dir):
+    tree, blobs, _ = document_history(spark, sf_dir)
+    side = lambda c, name: tree.where(F.col("commit") == c).join(blobs, "oid").select("path", F.col("text").alias(name))
+    found = revisions.text_diffs(side("c0", "old").join(side("c4", "new"), "path"))
+    count = lambda sign: F.size(F.filter(F.flatten(F.transform("hunks", lambda h: h["lines"])), lambda x: F.startswith(x, F.lit(sign)))).cast("long")
+    return found.select("path", count("+").alias("added"), count("-").alias("removed"), F.sha2(F.col("applied").cast("binary"), 256).alias("applied_sha256"))
+
+
+@query(
+    f"""WITH {_LINES}, versions AS (
+  SELECT path, coalesce(sha256(string_agg(line || chr(10), '' ORDER BY no) FILTER (substr(md5(line), 1, 1) NOT IN ('0', '1', '2', '3'))), sha256('')) AS a,
+    sha256(string_agg(line || chr(10), '' ORDER BY no)) AS b FROM lines GROUP BY path)
+SELECT path, 'modified' AS status FROM versions WHERE a <> b"""
+)
+def k16_file_changes(spark, sf_dir):
+    tree, _, _ = document_history(spark, sf_dir)
+    at = lambda c: tree.where(F.col("commit") == c).select("path", "oid")
+    return revisions.file_changes(at("c0"), at("c3")).select("path", "status")
