@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .iterate import settle
+from .iterate import ranked, resolve_chains, settle
+
+#: Communities of more than a share of all nodes, and of LEAST_SPLIT nodes, are split; so are those of LOOSE_SIZE nodes with less than a share of their possible links. Fixed values.
+LARGEST_SHARE, LEAST_SPLIT, LOOSE, LOOSE_SIZE = 0.25, 10, 0.05, 50
+#: Parts whose totals may be broadcast.
+BROADCAST_PARTS = 1_000_000
 
 
 def bfs(adj: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
@@ -44,6 +49,29 @@ def multi_bfs(edges: DataFrame, starts: DataFrame, depth: int | None = None) ->
     return seen
 
 
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id): what the starts (id) reach along directed edges (id, nbr), themselves included.
+
+    Chains are drawn together first: a node whose only edge leads to a node
+    without another edge to it, which is no start, is reached just where that
+    one's chain begins. So a search takes as many rounds as a path has forks
+    and joins, and the logarithm of the longest chain, whatever its length.
+    """
+    edges = settle(edges.select("id", "nbr").where("id != nbr").distinct())
+    starts = settle(starts.select("id").distinct())
+    out = edges.groupBy("id").agg(F.count(F.lit(1)).alias("out"))
+    into = edges.groupBy("nbr").agg(F.count(F.lit(1)).alias("into"))
+    single = edges.join(out.where("out = 1"), "id", "left_semi").join(into.where("into = 1"), "nbr", "left_semi").join(starts.withColumnRenamed("id", "nbr"), "nbr", "left_anti")
+    nodes = settle(edges.select("id").unionByName(edges.select(F.col("nbr").alias("id"))).unionByName(starts).distinct())
+    pointed = nodes.join(single.select("id", F.struct(F.col("nbr").alias("id")).alias("to")), "id", "left").withColumn("chain", F.col("id"))
+    chains = resolve_chains(pointed, ["id"], ["chain"])
+    # a cycle of single edges has no end: its nodes are no start, and nothing else leads to them
+    named = lambda side, name: chains.select(F.col("id").alias(side), F.col("chain").alias(name))
+    forks = edges.join(single.select("id"), "id", "left_anti").join(named("id", "a"), "id").join(named("nbr", "b"), "nbr").select(F.col("a").alias("id"), F.col("b").alias("nbr")).distinct()
+    found = bfs(forks, starts.join(chains, "id").select(F.col("chain").alias("id")))
+    return chains.join(found.select(F.col("id").alias("chain")), "chain", "left_semi").select("id")
+
+
 def shortest_path(adj: DataFrame, source: str, target: str, max_hops: int = 8) -> DataFrame:
     """(hop, id) of the shortest path, smallest parents first; empty if there is none within max_hops."""
     spark, adj = adj.sparkSession, settle(adj)
@@ -118,54 +146,168 @@ def personalized_rank(adj: DataFrame, nodes: DataFrame, seeds: DataFrame, rounds
     return state.select("id", "rank")
 
 
-def _local_moves(adj: DataFrame, rounds: int) -> DataFrame:
-    """(id, community): nodes move to the neighbouring community of most modularity gain, by turns.
+def _totals(adj: DataFrame) -> DataFrame:
+    """(part, total): the weight of each part's links; broadcast up to a measured number of parts."""
+    totals = settle(adj.groupBy("part").agg(F.sum("w").alias("total")))
+    return F.broadcast(totals) if totals.count() <= BROADCAST_PARTS else totals
+
+
+def _local_moves(adj: DataFrame, rounds: int, resolution: float = 1.0) -> DataFrame:
+    """(id, part, community): nodes move to the neighbouring community of most modularity gain, by turns.
 
     Turns are by the parity of the node's and the round's hash, so that a pair
-    doesn't swap for ever; the smallest community wins a tie.
+    doesn't swap for ever; the smallest community wins a tie. Each part is a
+    graph of its own; no link joins two.
     """
     adj = settle(adj)
-    degree = settle(adj.groupBy("id").agg(F.sum("w").alias("k")))
-    total = adj.agg(F.sum("w").alias("total")).first().total or 1.0
-    state = settle(degree.withColumn("community", F.col("id")))
     own_links = adj.where("id != nbr")
+    state = settle(adj.groupBy("id", "part").agg(F.sum("w").alias("k")).join(_totals(adj), "part").withColumn("community", F.col("id")))
     for r in range(rounds):
         size = state.groupBy("community").agg(F.sum("k").alias("mass"))
         links = own_links.join(state.select(F.col("id").alias("nbr"), "community"), "nbr").groupBy("id", "community").agg(F.sum("w").alias("w"))
         stay = state.select("id", "community", F.lit(0.0).alias("w"))
         options = links.unionByName(stay).groupBy("id", "community").agg(F.sum("w").alias("w"))
-        at = state.select("id", "k", F.col("community").alias("was"))
+        at = state.select("id", "k", "total", F.col("community").alias("was"))
         priced = options.join(at, "id").join(size, "community")
         mass = F.col("mass") - F.when(F.col("community") == F.col("was"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.col("k") * mass / total, 9)
+        gain = F.round(F.col("w") - resolution * F.col("k") * mass / F.col("total"), 9)
         best = priced.groupBy("id").agg(F.min(F.struct((-gain).alias("g"), "community"))["community"].alias("new"))
         turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
-        nxt = settle(state.join(best, "id").select("id", "k", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community"), (turn & (F.col("new") != F.col("community"))).alias("moved")))
+        nxt = settle(state.join(best, "id").select("id", "part", "k", "total", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community"), (turn & (F.col("new") != F.col("community"))).alias("moved")))
         moved = nxt.where("moved").count()
         state = nxt.drop("moved")
         if not moved and r % 2:
             break
-    return state.select("id", "community")
+    return state.select("id", "part", "community")
 
 
-def communities(adj: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
+def communities(adj: DataFrame, rounds: int = 12, levels: int = 3, resolution: float = 1.0) -> DataFrame:
     """(id, community) of weighted adjacency in both directions, by local modularity moves and contraction, level by level.
 
-    Each level's graph is that of the communities before. The partition is
-    deterministic; it needn't be that of a sequential search.
+    Each level's graph is that of the communities before. A column `part`, if
+    adj has one, makes a graph of its own of each of its values, all searched at
+    once. The partition is deterministic; it needn't be that of a sequential
+    search.
     """
+    adj = adj if "part" in adj.columns else adj.withColumn("part", F.lit(0))
     member = None
     for _ in range(levels):
-        moved = settle(_local_moves(adj, rounds))
-        before = adj.select("id").distinct().count()
-        member = moved if member is None else settle(member.join(moved.select(F.col("id").alias("community"), F.col("community").alias("new")), "community").select("id", F.col("new").alias("community")))
-        if moved.select("community").distinct().count() in (before, 1):
+        moved = settle(_local_moves(adj, rounds, resolution))
+        before, after = moved.count(), moved.select("community").distinct().count()
+        named = moved.select("id", "community")
+        member = named if member is None else settle(member.join(named.select(F.col("id").alias("community"), F.col("community").alias("new")), "community").select("id", F.col("new").alias("community")))
+        if after in (before, 1):
             break
-        to = lambda side, name: moved.select(F.col("id").alias(side), F.col("community").alias(name))
-        adj = settle(adj.join(to("id", "a"), "id").join(to("nbr", "b"), "nbr").groupBy(F.col("a").alias("id"), F.col("b").alias("nbr")).agg(F.sum("w").alias("w")))
+        to = lambda side, name: named.select(F.col("id").alias(side), F.col("community").alias(name))
+        adj = settle(adj.join(to("id", "a"), "id").join(to("nbr", "b"), "nbr").groupBy("part", F.col("a").alias("id"), F.col("b").alias("nbr")).agg(F.sum("w").alias("w")))
     return member
 
 
+def hubs(adj: DataFrame, nodes: DataFrame, percentile: float) -> DataFrame:
+    """(id): nodes with more links than the node at that place of all nodes in order of their links.
+
+    The place is found over the counts of nodes by degree, a row a degree.
+    """
+    degree = settle(nodes.select("id").distinct().join(adj.where("id != nbr").groupBy("id").agg(F.countDistinct("nbr").alias("degree")), "id", "left").fillna(0, ["degree"]))
+    upto = W.orderBy("degree").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = degree.groupBy("degree").agg(F.count(F.lit(1)).alias("n")).select("degree", F.sum("n").over(upto).alias("upto"))
+    place = max(0, int(degree.count() * percentile // 100) - 1)
+    least = counted.where(F.col("upto") > place).agg(F.min("degree")).first()[0]
+    return degree.where(F.col("degree") > F.lit(least)).select("id")
+
+
+def attach_hubs(adj: DataFrame, member: DataFrame, hub: DataFrame) -> DataFrame:
+    """(id, community) of the hubs: that of most of a hub's neighbours, the smallest of those that tie; its own without any.
+
+    Hubs vote in the order of their ids: one counts for those after it. Votes
+    are counted for all of them at once, again until nothing changes, which is
+    the result of asking one after the other.
+    """
+    links = adj.where("id != nbr").join(hub, "id").select("id", "nbr").distinct()
+    plain = settle(links.join(member.select(F.col("id").alias("nbr"), "community"), "nbr").groupBy("id", "community").agg(F.count(F.lit(1)).alias("votes")))
+    between = settle(links.join(hub.select(F.col("id").alias("nbr")), "nbr").where("nbr < id"))
+    now = None
+    while True:
+        votes = plain
+        if now is not None:
+            votes = plain.unionByName(between.join(now.select(F.col("id").alias("nbr"), "community"), "nbr").groupBy("id", "community").agg(F.count(F.lit(1)).alias("votes")))
+        summed = votes.groupBy("id", "community").agg(F.sum("votes").alias("votes"))
+        best = summed.groupBy("id").agg(F.min(F.struct((-F.col("votes")).alias("v"), "community"))["community"].alias("community"))
+        nxt = settle(hub.join(best, "id", "left").select("id", F.coalesce("community", "id").alias("community")))
+        if now is not None and nxt.exceptAll(now).isEmpty():
+            return nxt
+        now = nxt
+
+
+def split_communities(adj: DataFrame, member: DataFrame, wanted: DataFrame, rounds: int, levels: int) -> DataFrame:
+    """(id, community): member with each of the wanted communities searched as a graph of its own, all at once.
+
+    A community without a link inside falls into single nodes; one that the
+    search leaves whole stays.
+    """
+    of = member.join(wanted, "community", "left_semi")
+    side = lambda x, name: of.select(F.col("id").alias(x), F.col("community").alias(name))
+    inside = settle(adj.where("id != nbr").join(side("id", "part"), "id").join(side("nbr", "other"), "nbr").where("part = other").select("id", "nbr", "w", "part"))
+    if inside.isEmpty():
+        found = of.select("id", F.col("id").alias("piece"))
+    else:
+        found = of.join(communities(inside, rounds, levels).withColumnRenamed("community", "piece"), "id", "left").select("id", F.coalesce("piece", "id").alias("piece"))
+    return settle(member.join(found, "id", "left").select("id", F.coalesce("piece", "community").alias("community")))
+
+
+def cluster(
+    adj: DataFrame,
+    nodes: DataFrame,
+    hub_percentile: float | None = None,
+    rounds: int = 12,
+    levels: int = 3,
+    resolution: float = 1.0,
+    largest_share: float = LARGEST_SHARE,
+    least_split: int = LEAST_SPLIT,
+    loose: float = LOOSE,
+    loose_size: int = LOOSE_SIZE,
+) -> DataFrame:
+    """(id, community): every node's community, numbered from 0 by size, then by the smallest member.
+
+    Nodes above the percentile of degrees are left out of the search and
+    attached to the community of most of their neighbours. Then communities of
+    more than a share of all nodes are split, and after them those of many
+    nodes with few of their possible links. Nodes without a link are alone.
+    """
+    adj = settle(adj.select("id", "nbr", "w"))
+    every = settle(nodes.select("id").distinct())
+    inner, hub = adj, None
+    if hub_percentile is not None:
+        hub = settle(hubs(adj, every, hub_percentile))
+        inner = adj.join(hub, "id", "left_anti").join(hub.select(F.col("id").alias("nbr")), "nbr", "left_anti").select("id", "nbr", "w")
+        every = every.join(hub, "id", "left_anti")
+    inner = settle(inner.where("id != nbr"))
+    named = every.withColumn("community", F.col("id"))
+    member = named if inner.isEmpty() else every.join(communities(inner, rounds, levels, resolution), "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    member = settle(member)
+    if hub is not None:
+        member = settle(member.unionByName(attach_hubs(adj, member, hub)))
+    most = max(least_split, int(member.count() * largest_share))
+    large = settle(member.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("community"))
+    if not large.isEmpty():
+        member = split_communities(adj, member, large, rounds, levels)
+    scattered = settle(_loose(adj, member, loose, loose_size))
+    if not scattered.isEmpty():
+        member = split_communities(adj, member, scattered, rounds, levels)
+    sizes = ranked(member.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), F.desc("n"), "least", name="no")
+    return member.join(sizes.select("community", (F.col("no") - 1).alias("no")), "community").select("id", F.col("no").alias("community"))
+
+
+def _loose(adj: DataFrame, member: DataFrame, loose: float, size: int) -> DataFrame:
+    """(community): those of at least `size` nodes with less than a share of their possible links."""
+    side = lambda x, name: member.select(F.col("id").alias(x), F.col("community").alias(name))
+    inside = adj.where("id < nbr").select("id", "nbr").distinct().join(side("id", "community"), "id").join(side("nbr", "other"), "nbr").where("community = other")
+    links = inside.groupBy("community").agg(F.count(F.lit(1)).alias("links"))
+    sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)
+    possible = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    return sizes.join(links, "community", "left").where(F.coalesce("links", F.lit(0)) / possible < loose).select("community")
+
+
 def modularity(adj: DataFrame, membership: DataFrame) -> DataFrame:
     """One row: the modularity of a membership over weighted adjacency in both directions."""
     m = lambda side: membership.select(F.col("id").alias(side), F.col("community").alias(f"c_{side}"))

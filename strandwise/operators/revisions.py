@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .iterate import settle
+from .iterate import resolve_chains, settle
 
 #: Unchanged lines around a hunk.
 CONTEXT = 3
@@ -159,21 +159,6 @@ def text_diffs(pairs: DataFrame, context: int = CONTEXT) -> DataFrame:
     return pairs.select("path", "old", "new").mapInPandas(diff, f"path string, hunks {HUNKS}, applied string")
 
 
-def _resolve(pointers: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
-    """(keys, carried): for each row, the carried values of the end of its chain. A row's `to` is a struct like keys, or null at an end.
-
-    Each round lets every row point to where its target points, and settles in
-    the shared folder; chains of any length end after as many rounds as the
-    logarithm of the longest. A target without a row ends its chain, too.
-    """
-    now = settle(pointers.select(*keys, "to", *carried))
-    while not (moving := now.where("to is not null")).isEmpty():
-        target = now.select(F.struct(*keys).alias("to"), F.col("to").alias("further"), *[F.col(c).alias(f"_{c}") for c in carried])
-        moved = moving.join(target, "to", "left").select(*keys, F.col("further").alias("to"), *[F.coalesce(f"_{c}", c).alias(c) for c in carried])
-        now = settle(now.where("to is null").unionByName(moved))
-    return now.drop("to")
-
-
 def attribute_lines(tree: DataFrame, blobs: DataFrame, parents: DataFrame) -> DataFrame:
     """(commit, path, line, origin, origin_line): for each line of each version, the commit that it comes from; lines from 1.
 
@@ -211,7 +196,7 @@ def attribute_lines(tree: DataFrame, blobs: DataFrame, parents: DataFrame) -> Da
         F.when(F.col("best").isNotNull(), F.struct(F.col("best.at").alias("commit"), F.col("path"), F.col("best.at_line").alias("line"))).alias("to"),
         F.col("commit").alias("origin"), F.col("line").alias("origin_line"),
     )
-    return _resolve(pointed, ["commit", "path", "line"], ["origin", "origin_line"])
+    return resolve_chains(pointed, ["commit", "path", "line"], ["origin", "origin_line"])
 
 
 def _line_count():
@@ -228,4 +213,4 @@ def defining(tree: DataFrame, parents: DataFrame) -> DataFrame:
     pointed = held.join(same, ["commit", "path", "oid"], "left").select(
         "commit", "path", F.when(F.col("up").isNotNull(), F.struct(F.col("up.parent").alias("commit"), F.col("path"))).alias("to"), F.col("commit").alias("at"), "oid"
     )
-    return _resolve(pointed, ["commit", "path"], ["at", "oid"])
+    return resolve_chains(pointed, ["commit", "path"], ["at", "oid"])

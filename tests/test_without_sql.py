@@ -2,10 +2,9 @@
 
 import numpy as np
 
-from strandwise.operators import composite, graph, resolve
+from strandwise.operators import composite, resolve
 from strandwise.plans.composites import QUERIES as COMPOSITES
 from strandwise.plans.retrieval import QUERIES as RETRIEVAL
-from strandwise.plans.traversal import QUERIES as TRAVERSAL
 from strandwise.plans.traversal import places
 
 SF = "/root/testdata/sf0.001"
@@ -85,15 +84,3 @@ def test_answer_pack_refuses_without_seeds(spark):
     adj = places(spark, SF).selectExpr("id", "nbr", "1.0D as w")
     nodes = adj.selectExpr("id", "'nation' as node_type").distinct()
     assert composite.answer_pack(nodes, adj, spark.createDataFrame([], "id string, mass double")).count() == 0
-
-
-def test_communities_cover_all_nodes_with_positive_modularity(spark):
-    from strandwise.operators.build import merge_evidence
-    from strandwise.operators.search import weighted_adjacency
-    from strandwise.sources import star
-
-    edges = star.emissions(spark, SF).where("relation in ('LOCATED_IN', 'PART_OF', 'PLACED')")
-    adj = weighted_adjacency(merge_evidence(edges))
-    found = TRAVERSAL["h7_communities"](spark, SF)
-    assert found.count() == adj.select("id").distinct().count()
-    assert graph.modularity(adj, found).first().modularity > 0.5
