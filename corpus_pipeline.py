@@ -7,6 +7,8 @@ documents, but for the last, which returns sampled piece ids.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,11 @@ from strandwise.llm import decontaminate, piece_sampling, quality_model, secret_
 from strandwise.llm.common import shared_folder, table
 
 
+#: Texts, and bytes of them, that a Python worker gets at once, and the settings that say so.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality_model.keep_good(docs)
@@ -39,17 +46,31 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_sampling.encode_texts(docs)
 
 
+def _bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, in a session whose Python workers get no more than BATCH_ROWS texts or BATCH_BYTES at once.
+
+    A stage's plan runs after it returns, so the session keeps the settings;
+    run() puts back those of before.
+    """
+
+    @wraps(stage)
+    def held(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = int(spark.conf.get(ROWS))
+        spark.conf.set(ROWS, str(min(BATCH_ROWS, rows) if rows > 0 else BATCH_ROWS))
+        spark.conf.set(BYTES, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return held
+
+
 STAGES = [
-    ("quality_classifier", quality),
-    ("simhash_near_dedup", near_duplicates),
-    ("benchmark_decontamination", decontamination),
-    ("secret_scan", secrets),
-    ("sentencepiece", pieces),
+    ("quality_classifier", _bounded(quality)),
+    ("simhash_near_dedup", _bounded(near_duplicates)),
+    ("benchmark_decontamination", _bounded(decontamination)),
+    ("secret_scan", _bounded(secrets)),
+    ("sentencepiece", _bounded(pieces)),
 ]
 
-#: Texts that a Python worker holds at once.
-BATCH_ROWS = 1000
-
 #: SQL can't express the trained classifier; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -58,13 +79,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    before = {key: spark.conf.get(key) for key in (ROWS, BYTES)}
     try:
         for k, (name, stage) in enumerate(STAGES):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
     finally:
-        spark.conf.set(setting, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return docs
