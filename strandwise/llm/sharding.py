@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SLOT_BUCKETS = 4096
+from strandwise.operators.iterate import ranked
 
 
 def _uniform(key: Column, shard: int) -> Column:
@@ -34,7 +34,7 @@ def shard_records(
     text: str = "text",
     weights: Sequence[float] = (1.0,) * 8,
     grown_weights: Sequence[float] = (1.0,) * 9,
-    slot_buckets: int = SLOT_BUCKETS,
+    slot_buckets: int = 4096,
 ) -> DataFrame:
     """Assign each record a shard, a gapless slot in it, and its shard after growth.
 
@@ -42,10 +42,11 @@ def shard_records(
     that repeat a key get the same shard and slots of their own, dealt in the
     order of key, checksum and size (full ties are interchangeable). Other
     columns, whatever their names, are not carried. No text is shuffled: only
-    key, size and checksum are. Slots are numbered by row_number within
-    (shard, bucket of the key's hash) plus the counts of the buckets before,
-    so a shard is never numbered in one task; the table of counts has at most
-    shards x slot_buckets rows, which bounds its broadcast.
+    key, size and checksum are. Rows are sorted by range in the order of shard,
+    bucket of the key's hash, key, checksum and size, and numbered by their
+    range's part and place in it, so neither a shard nor a key, nor rows that
+    are alike in all, are numbered in one task; a shard's first number comes
+    from its count, a row a shard.
     """
     blob = F.coalesce(F.col(text), F.lit(""))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
@@ -56,23 +57,15 @@ def shard_records(
         rendezvous(name, weights).alias("shard"),
         rendezvous(name, grown_weights).alias("grown_shard"),
         (F.conv(F.substring(F.md5(name.cast("binary")), 1, 6), 16, 10).cast("long") % slot_buckets).alias("bucket"),
+        # rows alike in all are parted by where they stand
+        F.xxhash64(F.monotonically_increasing_id()).alias("tie"),
     )
-    counts = dealt.groupBy("shard", "bucket").count()
-    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    return (
-        dealt.withColumn("nth", F.row_number().over(within))
-        .join(F.broadcast(starts), ["shard", "bucket"])
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.lit("key").alias("law"),
-            "shard",
-            (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"),
-            "grown_shard",
-        )
+    placed = ranked(dealt, "shard", "bucket", "doc_id", "text_crc32", "size", "tie", name="place")
+    counts = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "shard").select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("place") - F.col("start") - 1).cast("long").alias("slot"), "grown_shard"
     )
 
 
