@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,25 +84,44 @@ def request_id(repo: Column, number: Column) -> Column:
     return F.concat(F.lit("pr:"), repo, F.lit("#"), number.cast("string"))
 
 
+def _number(value: int | float) -> str:
+    """A JSON number as the double it stands for: the shortest digits, plain from 1e-6 to 1e21, else with an exponent."""
+    try:
+        value = float(value)
+    except OverflowError:
+        return "null"
+    if value == 0 or value in (float("inf"), float("-inf")):
+        return "0" if value == 0 else "null"
+    if 1e-6 <= abs(value) < 1e21:
+        plain = format(Decimal(repr(value)), "f")
+        return plain.rstrip("0").rstrip(".") if "." in plain else plain
+    digits, exponent = repr(value).split("e")
+    return f"{digits}e{int(exponent):+d}"
+
+
 def _canonical(value) -> str:
-    """JSON with the keys of every object in the order of their UTF-16 units, and whole numbers without a fraction."""
+    """JSON with the keys of every object in the order of their UTF-16 units."""
     if isinstance(value, dict):
         return "{" + ",".join(f"{_canonical(k)}:{_canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(_canonical, value)) + "]"
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        value = int(value)
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return _number(value)
     return json.dumps(value, ensure_ascii=False)
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
-    """Each JSON text in its canonical form; null for what is no JSON."""
+    """Each JSON text in its canonical form; null for what is no JSON (NaN isn't), or is nested too deeply to be read."""
 
     def one(t: str | None) -> str | None:
         try:
-            return None if t is None else _canonical(json.loads(t))
-        except ValueError:
+            return None if t is None else _canonical(json.loads(t, parse_constant=_no_constant))
+        except (ValueError, RecursionError):
             return None
 
     return texts.map(one)
@@ -122,9 +142,19 @@ def token_estimate(value: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(value) / 4)).cast("long")
 
 
+#: Relations that are one under another name. Fixed values.
+RELATIONS = {
+    "VALIDATED_BY": "TESTED_BY", "VALIDATES": "TESTED_BY", "TESTS": "TESTED_BY", "IMPORTS": "IMPORTS_FROM", "EXTENDS": "INHERITS",
+    "INHERITS_FROM": "INHERITS", "SUBCLASS_OF": "INHERITS", "IMPLEMENTS_INTERFACE": "IMPLEMENTS", "REALIZES": "IMPLEMENTS",
+}
+
+
 def canonical_relation(value: Column) -> Column:
-    """Camel case and spaces to upper snake case."""
-    return F.upper(F.regexp_replace(F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1_$2"), r"[\s-]+", "_"))
+    """Camel case and spaces to upper snake case, synonyms to one name; nothing is RELATED_TO."""
+    told = F.when(F.trim(value) != "", F.trim(value)).otherwise("RELATED_TO")
+    name = F.upper(F.regexp_replace(F.regexp_replace(told, "([a-z0-9])([A-Z])", "$1_$2"), r"[\s-]+", "_"))
+    same = F.create_map(*[F.lit(x) for pair in RELATIONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(same, name), name)
 
 
 def line_range(value: Column) -> Column:

@@ -8,8 +8,13 @@ from pyspark.sql import Window as W
 
 #: Labels of a .json source that are keys and no entities. Fixed values.
 JSON_NOISE = ("start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version", "dependencies", "devdependencies", "peerdependencies", "optionaldependencies", "bundleddependencies", "bundledependencies")
+#: Relations that a file's structure makes. Fixed values.
 STRUCTURAL = ("imports", "imports_from", "re_exports", "contains", "method")
-CODE = ("py", "ts", "js", "tsx", "jsx", "go", "rs", "java", "cpp", "c", "rb", "cs", "kt", "scala", "php", "swift", "lua", "sql")
+#: Extensions of code. Fixed values.
+CODE = (
+    "py ts js jsx tsx go rs java cpp cc cxx c h hpp rb swift kt kts cs scala php lua toc zig ps1 ex exs m mm jl vue svelte astro dart v sv svh mjs ejs sql r "
+    "groovy gradle luau f f90 f95 f03 f08 mts cts ets sln csproj fsproj vbproj props targets"
+).split()
 PAPER, IMAGE = ("pdf",), ("png", "jpg", "jpeg", "webp", "gif", "svg")
 
 

@@ -59,31 +59,31 @@ def branch_members(history: History, heads: DataFrame) -> DataFrame:
     return heads.select("ref", F.col("oid").alias("start")).distinct().join(found, "start").select("ref", F.col("id").alias("oid")).join(history.commits.select("oid"), "oid", "left_semi").select("ref", "oid")
 
 
+def _digest_of(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tree): a digest of each group's entries (name, kind, oid) in any order: the digest of the sums of four parts of theirs, added up on the map side."""
+    own = F.sha2(F.concat("kind", F.lit(" "), "name", F.lit("\x00"), "oid").cast("binary"), 256)
+    part = lambda k: F.conv(F.substring("own", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = entries.withColumn("own", own).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(part(k)).alias(f"s{k}") for k in range(4)])
+    whole = F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "s0", "s1", "s2", "s3")])
+    return sums.select(*keys, F.sha2(whole.cast("binary"), 256).alias("tree"))
+
+
 def merkle_trees(files: DataFrame, by: str = "commit") -> tuple[DataFrame, DataFrame]:
     """(roots, trees) of files (by, path, oid): a root (by, oid) for each value of `by`, and content-addressed entries (tree, name, kind, oid).
 
-    A directory's oid is the digest of its entries in order of their names, so
-    equal directories are one tree, wherever they are. Levels are made from the
-    deepest up, each by a group of its directories.
+    Equal directories are one tree, wherever they are. Levels are made from the
+    deepest up; a directory's entries are added up, never gathered, so one may
+    hold most of the files.
     """
-    level = settle(files.select(by, F.split("path", "/").alias("at"), F.lit("blob").alias("kind"), "oid"))
+    level = settle(files.select(by, F.split("path", "/").alias("at"), F.lit("blob").alias("kind"), "oid").distinct())
     depth = level.agg(F.max(F.size("at"))).first()[0] or 0
-    made = []
+    trees = files.sparkSession.createDataFrame([], "tree string, name string, kind string, oid string")
     for d in range(depth, 0, -1):
-        here = level.where(F.size("at") == d)
-        entry = F.struct(F.col("at")[d - 1].alias("name"), "kind", "oid")
-        grouped = here.groupBy(by, F.slice("at", 1, d - 1).alias("at")).agg(F.array_sort(F.collect_set(entry)).alias("entries"))
-        listing = F.array_join(F.transform("entries", lambda e: F.concat(e["kind"], F.lit(" "), e["name"], F.lit("\x00"), e["oid"])), "\n")
-        grouped = settle(grouped.withColumn("oid", F.sha2(listing.cast("binary"), 256)))
-        made.append(grouped.select(F.col("oid").alias("tree"), "entries").dropDuplicates(["tree"]))
-        level = level.where(F.size("at") < d).unionByName(grouped.select(by, "at", F.lit("tree").alias("kind"), "oid"))
-    roots = level.where(F.size("at") == 0).select(by, "oid")
-    trees = made[0].where("false") if made else None
-    for m in made:
-        trees = trees.unionByName(m)
-    if trees is None:
-        return roots, files.sparkSession.createDataFrame([], "tree string, name string, kind string, oid string")
-    return settle(roots), settle(trees.dropDuplicates(["tree"]).select("tree", F.inline("entries")))
+        entries = level.where(F.size("at") == d).select(by, F.slice("at", 1, d - 1).alias("at"), F.col("at")[d - 1].alias("name"), "kind", "oid")
+        named = settle(_digest_of(entries, [by, "at"]))
+        trees = trees.unionByName(entries.join(named, [by, "at"]).select("tree", "name", "kind", "oid"))
+        level = level.where(F.size("at") < d).unionByName(named.select(by, "at", F.lit("tree").alias("kind"), F.col("tree").alias("oid")))
+    return settle(level.where(F.size("at") == 0).select(by, "oid")), settle(trees.distinct())
 
 
 CHANGES = T.StructType([T.StructField(n, T.StringType()) for n in ("pair", "path", "status", "old_oid", "new_oid")])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandwise.operators import grounding, revisions
+from strandwise.operators import grounding, lineage, revisions
 from strandwise.plans.registry import register
 from strandwise.sources import star
 
@@ -87,3 +87,50 @@ def k16_file_changes(spark, sf_dir):
     tree, _, _ = document_history(spark, sf_dir)
     at = lambda c: tree.where(F.col("commit") == c).select("path", "oid")
     return revisions.file_changes(at("c0"), at("c3")).select("path", "status")
+
+
+_VERSIONS = f"""{_LINES}, texts AS (
+  SELECT path, no, line, substr(md5(line), 1, 1) AS d FROM lines), versions AS (
+  SELECT path, coalesce(string_agg(line || chr(10), '' ORDER BY no) FILTER (d NOT IN ('0', '1', '2', '3')), '') AS a,
+    coalesce(string_agg(line || chr(10), '' ORDER BY no) FILTER (d NOT IN ('2', '3')), '') AS b FROM texts GROUP BY path)"""
+
+
+@query(
+    f"""WITH {_VERSIONS}, placed AS (
+  SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, a, b FROM versions JOIN documents ON path = 'doc/' || doc_id)
+SELECT 'c0..c1' AS pair, path, CASE WHEN a = '' THEN 'added' WHEN b = '' THEN 'deleted' ELSE 'modified' END AS status,
+  CASE WHEN a <> '' THEN sha256(a) END AS old_oid, CASE WHEN b <> '' THEN sha256(b) END AS new_oid FROM placed WHERE a <> b"""
+)
+def h23_branch_comparison(spark, sf_dir):
+    """What branch c1 of the documents' history contributes since it left c2; a file without lines isn't there."""
+    tree, _, parents = document_history(spark, sf_dir)
+    docs = star.table(spark, sf_dir, "documents")
+    none = lambda c: F.coalesce(c, F.lit("none"))
+    named = docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.concat_ws("/", none(F.col("source")), none(F.col("lang")), F.col("doc_id").cast("string")).alias("place"))
+    files = tree.where(F.col("oid") != F.sha2(F.lit("").cast("binary"), 256)).join(named, "path").select("commit", F.col("place").alias("path"), "oid")
+    return lineage.compare_branches(files, parents, "c2", "c1")[1]
+
+
+@query(
+    """WITH RECURSIVE dag AS (SELECT event_id AS id, event_id // 2 AS nbr FROM events WHERE event_id // 2 > 0 UNION SELECT event_id, event_id // 3 FROM events WHERE event_id // 3 > 0),
+seeds AS (SELECT event_id AS id FROM events ORDER BY event_id DESC LIMIT 3),
+r1 AS (SELECT id FROM seeds UNION SELECT nbr FROM r1 JOIN dag USING (id) WHERE id % 2 = 1),
+blocked AS (SELECT id FROM r1 WHERE id % 2 = 0 UNION SELECT dag.id FROM blocked JOIN dag ON dag.nbr = blocked.id WHERE dag.id % 2 = 1 AND dag.id IN (SELECT id FROM r1)),
+r2 AS (SELECT id FROM seeds UNION SELECT nbr FROM r2 JOIN dag USING (id))
+SELECT 1 AS pass, id::VARCHAR AS oid, 'missing' AS state FROM r1 WHERE id % 2 = 0
+UNION ALL SELECT 1, id::VARCHAR, 'complete' FROM r1 WHERE id NOT IN (SELECT id FROM blocked)
+UNION ALL SELECT 2, id::VARCHAR, 'complete' FROM r2"""
+)
+def k14_history_pass(spark, sf_dir):
+    """Two passes over events as commits with two parents each: odd ones come first, then the others."""
+    e = star.table(spark, sf_dir, "events")
+    above = F.array_distinct(F.filter(F.array(F.expr("event_id div 2"), F.expr("event_id div 3")), lambda p: p > 0))
+    commits = e.select("event_id", F.col("event_id").cast("string").alias("oid"), F.transform(above, lambda p: p.cast("string")).alias("parents"))
+    roots = e.orderBy(F.desc("event_id")).limit(3).select(F.col("event_id").cast("string").alias("oid"))
+    held, none = lineage.no_history(spark), roots.limit(0)
+    out = None
+    for k, odd in ((1, 1), (2, 0)):
+        held = lineage.history_pass(held, commits.where(F.pmod("event_id", F.lit(2)) == odd).select("oid", "parents"), roots, none)
+        found = held.complete.select(F.lit(k).alias("pass"), "oid", F.lit("complete").alias("state")).unionByName(held.gaps.select(F.lit(k).alias("pass"), "oid", F.col("cause").alias("state")))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.operators.analyze import CODE
+
 #: Kinds of files by extension. Fixed values.
 KINDS = {
-    "code": "py ts tsx js jsx mjs cjs go rs java c cpp h hpp rb cs kt scala php swift lua sql sh".split(),
+    "code": [*CODE, "cjs", "sh"],
     "document": "md mdx txt rst html".split(),
     "paper": ["pdf"],
     "image": "png jpg jpeg gif webp svg".split(),
@@ -41,10 +43,10 @@ def scan(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     for pattern in (SENSITIVE, *ignore):
         raw = raw.where(~F.col("path").rlike(pattern))
-    text = F.when(raw["length"] < 50_000_000, F.col("content").cast("string"))
+    text = F.col("content").cast("string")
     head = F.substring_index(F.substring(text, 1, 200), "\n", 1)
     kind = classify(F.col("path"), head)
-    words = F.when(kind.isin("code", "document"), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))).otherwise(0)
+    words = F.when(kind.isin("code", "document"), F.regexp_count(text, F.lit(r"\S+"))).otherwise(0)
     return raw.select("path", "length", F.col("modificationTime").alias("modified"), kind.alias("kind"), words.cast("long").alias("words")).where("kind is not null")
 
 

@@ -89,3 +89,18 @@ def test_vectors_in_packs(spark):
     for size in (4096, 9):
         got = {(r.query, r.vec_id): (r.score, r.rank) for r in vector.top_k(frame, frame.where("vec_id % 7 = 0"), 4, size=size).collect()}
         assert got == want
+
+
+def test_canonical_json_numbers_and_what_is_no_json(spark):
+    from strandwise.functions.text import canonical_json
+
+    said = {
+        '{"b":1e-7,"a":[1.50,-0.0,1e21,12345678901234567890]}': '{"a":[1.5,0,1e+21,12345678901234567000],"b":1e-7}',
+        "[1e-5,2.5e-7,100000000000000000000,true,1e999]": "[0.00001,2.5e-7,100000000000000000000,true,null]",
+        "NaN": None,
+        '{"a":Infinity}': None,
+        "[" * 200_000 + "]" * 200_000: None,
+        "{": None,
+    }
+    rows = spark.createDataFrame(list(said.items()), "text string, want string").withColumn("got", canonical_json("text")).collect()
+    assert all(r.got == r.want for r in rows)
