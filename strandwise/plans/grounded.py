@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandwise.operators import grounding, lineage, revisions
+from strandwise.operators import grounding, lineage, linking, revisions
 from strandwise.plans.registry import register
 from strandwise.sources import star
 
@@ -134,3 +134,23 @@ def k14_history_pass(spark, sf_dir):
         found = held.complete.select(F.lit(k).alias("pass"), "oid", F.lit("complete").alias("state")).unionByName(held.gaps.select(F.lit(k).alias("pass"), "oid", F.col("cause").alias("state")))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def item_registry(spark, sf_dir):
+    """Benchmark items as records: the first two words are the label, the next two an alias; the partition is a language, by turns."""
+    w = F.split(F.trim("text"), r"\s+")
+    items = star.table(spark, sf_dir, "benchmark").where("trim(text) != ''")
+    turn = F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("en"), F.lit("de")), (F.col("item_id") % 4 + 1).cast("int"))
+    row = lambda at, label: F.struct(F.array_join(F.slice(w, at, 2), " ").alias("surface"), F.lit(label).alias("is_label"))
+    return items.select(F.lit("items").alias("registry"), F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("record_id"), turn.alias("partition"), F.inline(F.array(row(1, True), row(3, False))))
+
+
+KINDS = (linking.LinkType("opening", "items", pattern=r"\b\w+ \w+"), linking.LinkType("local", "items", partitioned=True, path_segment=0))
+
+
+@query()
+def i9_entity_linking(spark, sf_dir):
+    """All documents, under the folder of their language, against the benchmark's items."""
+    docs = star.table(spark, sf_dir, "documents")
+    sources = docs.select(F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("source"), "text")
+    return linking.link_entities(sources, KINDS, item_registry(spark, sf_dir))[0]
