@@ -53,15 +53,61 @@ def certify_stream(signals: DataFrame) -> DataFrame:
     return signals.groupBy("axis").applyInPandasWithState(_certify, "axis string, current boolean", "doubt long, start long", "update", GroupStateTimeout.NoTimeout)
 
 
-def invalidations(changes: DataFrame, debounce: str = "10 seconds", late: str = "1 minute", most: int = 64) -> DataFrame:
-    """(axis, window, paths, whole): distinct paths changed in each debounce window; with more than `most`, the whole axis is in doubt.
-
-    changes: (at timestamp, axis, path). Rows later than `late` are dropped
-    by the watermark. A window's state holds its distinct paths, no more.
+#: Paths of an axis that are held one by one; with more of them, the whole axis is in doubt.
+MOST_PATHS = 64
+
+
+def _doubted(pending: dict[str, int], unknown: int, certified: int, rows: Iterator[tuple[str, str | None, int]], most: int) -> tuple[dict[str, int], int, int]:
+    """Pending paths with their last doubts, the last doubt of the whole axis (0: none) and the last certificate, after rows (kind, path, seq) in any order."""
+    for kind, path, seq in rows:
+        if kind == "certificate":
+            certified = max(certified, seq)
+        elif path is None:
+            unknown = max(unknown, seq)
+        else:
+            pending[path] = max(pending.get(path, 0), seq)
+        # a reconciliation that began after a doubt settles it, whichever came first
+        pending = {p: q for p, q in pending.items() if q > certified}
+        unknown = unknown if unknown > certified else 0
+        if len(pending) > most or unknown:
+            pending, unknown = {}, max(unknown, *pending.values()) if pending else unknown
+    return pending, unknown, certified
+
+
+def invalidations(signals: DataFrame, debounce_ms: int = 10_000, most: int = MOST_PATHS) -> DataFrame:
+    """Updates of (axis, due, current, whole, paths, doubt, certified) from signals (axis, kind, path, seq) of kind change or certificate.
+
+    A change takes its axis out of what is current at once, in the micro-batch
+    that brings it, however late it comes: nothing is dropped. A change without
+    a path, or one path more than `most`, puts the whole axis in doubt, so the
+    state of an axis is bounded. A certificate (seq: when its reconciliation
+    began) settles the doubts up to it. An axis that stays in doubt is due, with
+    what has to be read again, when it has been quiet for debounce_ms. An axis
+    is current if it has a certificate and no doubt after it.
     """
-    held = changes.withWatermark("at", late).groupBy("axis", F.window("at", debounce)).agg(F.collect_set("path").alias("paths"))
-    whole = F.size("paths") > most
-    return held.select("axis", "window", F.when(~whole, F.array_sort("paths")).alias("paths"), whole.alias("whole"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        paths, seqs, unknown, certified = state.get if state.exists else ([], [], 0, -1)
+        pending, due = dict(zip(paths, seqs)), state.hasTimedOut
+        if not due:
+            rows = ((k, None if pd.isna(p) else p, int(q)) for b in batches for k, p, q in zip(b["kind"], b["path"], b["seq"]))
+            pending, unknown, certified = _doubted(pending, unknown, certified, rows, most)
+        names = sorted(pending)
+        state.update((names, [pending[p] for p in names], unknown, certified))
+        if not due and (names or unknown):
+            state.setTimeoutDuration(debounce_ms)
+        doubt = max([unknown, *pending.values()])
+        yield pd.DataFrame(
+            {"axis": [key[0]], "due": [due], "current": [certified >= 0 and not doubt], "whole": [unknown > 0], "paths": [names], "doubt": [doubt], "certified": [certified]}
+        )
+
+    return signals.groupBy("axis").applyInPandasWithState(
+        step,
+        "axis string, due boolean, current boolean, whole boolean, paths array<string>, doubt long, certified long",
+        "paths array<string>, seqs array<long>, unknown long, certified long",
+        "update",
+        GroupStateTimeout.ProcessingTimeTimeout,
+    )
 
 
 def apply_batches(stream: DataFrame, path: str, checkpoint: str):

@@ -116,3 +116,60 @@ def test_evidence_merge_is_order_free_and_idempotent(spark):
     one = build.merge_evidence(emissions).first()
     assert (one.weight, one.confidence, one.confidence_score, one.n_observations, one.source_file) == (3.0, "INFERRED", 0.5, 2, "e")
     assert build.merge_evidence(emissions.repartition(7)).first() == one
+
+
+SIGNALS = "axis string, kind string, path string, seq long"
+
+
+def settled_by_hand(rows, most):
+    """What an axis holds after all signals, whatever their order: doubts after the last certificate, the whole axis once too many paths were in doubt at a time."""
+    certified = max([q for _, k, _, q in rows if k == "certificate"], default=-1)
+    open_ = {}
+    for _, k, p, q in rows:
+        if k == "change" and q > certified:
+            open_[p] = max(open_.get(p, 0), q)
+    whole = None in open_ or len(open_) > most
+    return (not open_ and certified >= 0, whole, [] if whole else sorted(open_), max(open_.values(), default=0), certified)
+
+
+def until(done, query, seconds=60):
+    """Timers keep such a stream going for ever, so it is stopped when it has done what is asked."""
+    import time
+
+    for _ in range(4 * seconds):
+        if done() or query.exception():
+            return
+        time.sleep(0.25)
+
+
+def test_invalidations_over_a_restart(spark, tmp_path):
+    rows = [("dag", "change", f"p{k % 5}", k + 1) for k in range(12)] + [("dag", "certificate", None, 9), ("dag", "change", "late", 3)]
+    rows += [("tree", "change", f"q{k}", k + 1) for k in range(90)] + [("refs", "change", None, 4), ("refs", "certificate", None, 6), ("new", "change", "x", 1)]
+    parts = [rows[k::3] for k in range(3)]
+    source, checkpoint = tmp_path / "signals", str(tmp_path / "checkpoint")
+    got = {}
+
+    def keep(batch, _):
+        for r in batch.collect():
+            got[r.axis] = (r.current, r.whole, r.paths, r.doubt, r.certified)
+
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, SIGNALS).coalesce(1).write.mode("append").parquet(str(source))
+        said = [r for p in parts[: k + 1] for r in p]
+        want = {axis: settled_by_hand([r for r in said if r[0] == axis], state.MOST_PATHS) for axis in {r[0] for r in said}}
+        stream = state.invalidations(spark.readStream.schema(SIGNALS).parquet(str(source)), debounce_ms=3_600_000)
+        q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime="200 milliseconds").start()
+        until(lambda: got == want, q)
+        q.stop()
+        assert got == want
+    assert got["tree"][1] and got["dag"][2] == ["p0", "p1", "p4"] and got["refs"][0]
+
+
+def test_a_quiet_axis_is_due(spark, tmp_path):
+    spark.createDataFrame([("dag", "change", "a", 1), ("dag", "change", "b", 2)], SIGNALS).coalesce(1).write.parquet(str(tmp_path / "s"))
+    seen = []
+    stream = state.invalidations(spark.readStream.schema(SIGNALS).parquet(str(tmp_path / "s")), debounce_ms=500)
+    q = stream.writeStream.foreachBatch(lambda b, _: seen.extend(b.collect())).outputMode("update").trigger(processingTime="300 milliseconds").start()
+    until(lambda: any(r.due for r in seen), q)
+    q.stop()
+    assert not seen[0].due and not seen[0].current and next(r for r in seen if r.due).paths == ["a", "b"]
