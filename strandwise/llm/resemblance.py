@@ -10,9 +10,11 @@ Two rounds look for links. In the first, each bucket's texts are compared with
 one of them alone, which joins most of a large group of near copies at the cost
 of its size. In the second, all texts that meet and are of different components
 by then are compared, large buckets in blocks. A pair is compared whole only if
-its sketches allow it: a sketch is as many bits as SKETCH, each shingle turning
-one of them over, so two sketches differ in no more bits than their sets do in
-shingles. No pair is missed, and none is guessed.
+its sketches allow it: each shingle turns one bit of a sketch over, so two
+sketches differ in no more bits than their sets do in shingles. A sketch has
+SKETCH bits, doubled until they are twice the shingles, GROWN times at most; the
+longer of two is folded in half, which is the sketch of half the bits. Sets that
+may be alike are at most one doubling apart. No pair is missed, none guessed.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ WIDTH = 5
 #: The least similarity, in tenths.
 LEAST = 8
 SEED = 42
-#: Bits of a sketch; texts of one bucket that are compared in one block.
-SKETCH, BLOCK = 1024, 2048
+#: Least bits of a sketch, and how often they may be doubled; texts of one bucket that are compared in one block.
+SKETCH, GROWN, BLOCK = 1024, 4, 2048
 #: Texts sampled for the order of shingles, and how often a common shingle is in them. They decide the cost, not the result.
 SAMPLE, OFTEN = 8000, 3
 #: Hashes of common shingles that the order may name, and of texts to be compared that may be broadcast.
@@ -64,10 +66,36 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    odd = (np.bincount(shingles & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)
+    size = SKETCH
+    while size < 2 * len(shingles) and size < SKETCH << GROWN:
+        size *= 2
+    odd = (np.bincount(shingles & (size - 1), minlength=size) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+class Sketches:
+    """The sketches of a block by their length; differences of one from many."""
+
+    def __init__(self, sketches: list[np.ndarray]):
+        self.length = np.fromiter(map(len, sketches), np.int64, count=len(sketches))
+        self.at = np.zeros(len(sketches), np.int64)
+        self.whole, self.half = {}, {}
+        for n in np.unique(self.length):
+            of = np.flatnonzero(self.length == n)
+            self.at[of] = np.arange(len(of))
+            rows = np.stack([sketches[k] for k in of]).view(np.uint64)  # of signed numbers, bits of the absolute value would count
+            self.whole[n], self.half[n] = rows, rows[:, : n // 2] ^ rows[:, n // 2 :]
+
+    def differ(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Bits that differ between the i-th and each of the j-th sketches; those of lengths too far apart differ in all."""
+        n, out = int(self.length[i]), np.full(len(j), np.iinfo(np.int64).max // 100)
+        for m, mine, theirs in ((n, self.whole, self.whole), (2 * n, self.whole, self.half), (n // 2, self.half, self.whole)):
+            of = np.flatnonzero(self.length[j] == m)
+            if len(of):
+                out[of] = np.bitwise_count(theirs[m][self.at[j[of]]] ^ mine[n][self.at[i]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def shingles(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles_of(words_of(t)) for t in texts], dtype=object)
@@ -112,7 +140,7 @@ def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for across, sketch, *rows in zip(*(batch[c] for c in ("across", "sketch", "h", "n", "last", "root", "part"))):
             order = np.argsort(rows[0])
             h, n, last, root, part = (x[order] for x in rows)
-            bits = np.stack(list(sketch)).view(np.uint64)[order]  # of signed numbers, bits of the absolute value would count
+            bits = Sketches([np.asarray(sketch[k], dtype=np.int64) for k in order])
             rest = n - (n - -(-LEAST * n // 10) + 1)
             for i in range(len(h) - 1):
                 fit = (root[i + 1 :] != root[i]) & (10 * np.minimum(n[i], n[i + 1 :]) >= LEAST * np.maximum(n[i], n[i + 1 :]))
@@ -121,7 +149,7 @@ def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 j = np.flatnonzero(fit) + i + 1
                 if not len(j):
                     continue
-                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                differ = bits.differ(i, j)
                 j = j[(10 + LEAST) * differ <= (10 - LEAST) * (n[i] + n[j])]
                 if not len(j):
                     continue
@@ -145,8 +173,12 @@ def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _allowed(a: str, b: str) -> Column:
     """Whether two sketches and sizes allow the similarity."""
     n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
-    odd = F.zip_with(f"{a}_sketch", f"{b}_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differ = F.aggregate(odd, F.lit(0), lambda acc, x: acc + x)
+    half = lambda x: (F.size(x) / 2).cast("int")
+    fold = lambda x: F.zip_with(F.slice(x, 1, half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
+    level = lambda x, y: F.when(F.size(x) > F.size(y), fold(x)).otherwise(F.col(x))
+    one, two = f"{a}_sketch", f"{b}_sketch"
+    odd = F.zip_with(level(one, two), level(two, one), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(odd, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(64)))
     return (10 * F.least(n, m) >= LEAST * F.greatest(n, m)) & ((10 + LEAST) * differ <= (10 - LEAST) * (n + m))
 
 
@@ -177,7 +209,7 @@ def alike_roots(texts: DataFrame, marked: DataFrame, links: DataFrame, component
     side = lambda x: info.select(F.col("h").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
     # a hint only: what this round leaves out the next one finds. Sketches of sets much larger than they are say little
     stars = met.where("h != hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
-    near = stars.join(side("a"), "a").join(side("b"), "b").where(f"a_fp != b_fp and a_n + b_n <= {4 * SKETCH}").where(_allowed("a", "b"))
+    near = stars.join(side("a"), "a").join(side("b"), "b").where(f"a_fp != b_fp and a_n + b_n <= {4 * (SKETCH << GROWN)}").where(_allowed("a", "b"))
     roots = settle(components(links.unionByName(_verified(near.select("a", "b"), texts, info))))
     named = info.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     inside = met.select("s", "h").join(named.select("h", "root"), "h")

@@ -149,3 +149,21 @@ def test_near_copies_beyond_the_fingerprints_radius_go(spark):
     fps = {r.doc_id: simhash.fingerprint_of(r.text) for r in rows.collect()}
     assert len(pairs) == 4 and all((fps[a] ^ fps[b]).bit_count() > 4 for a, b in pairs)
     assert {r.doc_id for r in cp.near_duplicates(spark, rows, SF).collect()} == set(words) - {b for _, b in pairs}
+
+
+def test_sketches_of_any_lengths_never_differ_more_than_their_sets():
+    import numpy as np
+
+    from strandwise.llm import resemblance as M
+
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 62, 60_000))
+    sets = [np.sort(base[a : a + n]) for n in (1, 300, 511, 512, 640, 5000, 6200, 40_000, 50_000) for a in (0, n // 9)]
+    held = M.Sketches([M.sketch_of(s) for s in sets])
+    for i, x in enumerate(sets):
+        fit = np.array([j for j, y in enumerate(sets) if 10 * min(len(x), len(y)) >= M.LEAST * max(len(x), len(y))])
+        want = [len(np.setxor1d(x, sets[j])) for j in fit]
+        assert (held.differ(i, fit) <= want).all()
+    # and tell sets apart that have nothing in common, long ones too
+    far = M.Sketches([M.sketch_of(base[:20_000]), M.sketch_of(base[20_000:40_000])]).differ(0, np.array([1]))[0]
+    assert (10 + M.LEAST) * far > (10 - M.LEAST) * 40_000
