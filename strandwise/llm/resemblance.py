@@ -36,7 +36,7 @@ WIDTH = 5
 LEAST = 8
 SEED = 42
 #: Least bits of a sketch, and how often they may be doubled; texts of one bucket that are compared in one block.
-SKETCH, GROWN, BLOCK = 1024, 4, 2048
+SKETCH, GROWN, BLOCK = 1024, 1, 2048
 #: Texts sampled for the order of shingles, and how often a common shingle is in them. They decide the cost, not the result.
 SAMPLE, OFTEN = 8000, 3
 #: Hashes of common shingles that the order may name, and of texts to be compared that may be broadcast.
