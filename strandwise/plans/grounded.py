@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from strandwise.operators import grounding, lineage, linking, revisions
+from strandwise.operators import grounding, lineage, linking, projection, revisions
+from strandwise.operators.iterate import shared_folder
 from strandwise.plans.registry import register
 from strandwise.sources import star
 
@@ -154,3 +157,52 @@ def i9_entity_linking(spark, sf_dir):
     docs = star.table(spark, sf_dir, "documents")
     sources = docs.select(F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("source"), "text")
     return linking.link_entities(sources, KINDS, item_registry(spark, sf_dir))[0]
+
+
+def user_memory(spark, sf_dir, moved: int, judged: bool):
+    """Users as records about their customer and a nation; where judged, by their events."""
+    e = star.table(spark, sf_dir, "events")
+    u = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    key = F.col("user_id").cast("string")
+    return u.select(
+        key.alias("record_id"),
+        F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", key, F.col("n").cast("string")).cast("binary"), 256)).alias("record_digest"),
+        F.lit("users").alias("scope_ref"),
+        F.when(F.lit(judged) & (F.col("errors") % 3 == 0), "superseded").otherwise("accepted_current").alias("state"),
+        (~F.lit(judged) | (F.col("n") % 5 != 0)).alias("projection_eligible"),
+        F.lit(True).alias("authorized"),
+        F.lit(True).alias("eligible_now"),
+        F.array(star.node_id("customer", "user_id"), F.concat(F.lit("nation:"), ((F.col("user_id") + moved) % 30).cast("string"))).alias("code_targets"),
+        F.array(F.concat(F.lit("events/"), key)).alias("citations"),
+    )
+
+
+@query(
+    f"""WITH {star.ORACLE_NODES}, {star.ORACLE_EDGES}, u AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id),
+shown AS (SELECT user_id, 'memory:' || user_id AS src FROM u WHERE errors % 3 <> 0 AND n % 5 <> 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 211 = 0)),
+about AS (SELECT src, 'customer:' || user_id AS tgt FROM shown UNION ALL SELECT src, 'nation:' || (user_id + 1) % 30 FROM shown),
+live AS (SELECT src, tgt FROM about WHERE tgt IN (SELECT id FROM nodes))
+SELECT src, tgt, 1::BIGINT AS n FROM live UNION ALL SELECT src, '' AS tgt, 1::BIGINT FROM shown
+UNION ALL SELECT 'nodes', '', (SELECT count(*) FROM nodes) + (SELECT count(*) FROM shown)
+UNION ALL SELECT 'edges', '', (SELECT count(*) FROM (SELECT DISTINCT src, tgt, relation FROM edges)) + (SELECT count(*) FROM live)"""
+)
+def i12_memory_projection(spark, sf_dir):
+    """A store after a projection, a second that moves and withdraws records, and the first once more, which is stale."""
+    nodes = star.nodes(spark, sf_dir)
+    erased = star.table(spark, sf_dir, "events").where("event_id % 211 = 0").select(F.col("user_id").cast("string").alias("record_id"))
+    path = f"{shared_folder(spark)}/projected-{uuid.uuid4().hex}"
+    projection.begin(path, nodes, star.emissions(spark, sf_dir).select("src", "tgt", "relation").distinct())
+    first = projection.project(user_memory(spark, sf_dir, 0, False), nodes, erased.limit(0))
+    second = projection.project(user_memory(spark, sf_dir, 1, True), nodes, erased)
+    for cursor, p in ((1, first), (2, second), (1, first)):
+        projection.merge(spark, path, p, cursor)
+    held, edges = projection.read(spark, path)
+    row = lambda df, src, tgt: df.select(src.alias("src"), tgt.alias("tgt"), F.lit(1).cast("long").alias("n"))
+    total = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("src"), F.lit("").alias("tgt"), "n")
+    memory = F.lit(projection.PREFIX)
+    return (
+        row(edges.where(F.startswith("src", memory)), F.col("src"), F.col("tgt"))
+        .unionByName(row(held.where(F.startswith("id", memory)), F.col("id"), F.lit("")))
+        .unionByName(total(held, "nodes"))
+        .unionByName(total(edges, "edges"))
+    )
