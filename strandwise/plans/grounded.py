@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from strandwise.functions import surface
 from strandwise.operators import grounding, lineage, linking, projection, revisions
 from strandwise.operators.iterate import shared_folder
 from strandwise.plans.registry import register
@@ -206,3 +207,26 @@ def i12_memory_projection(spark, sf_dir):
         .unionByName(total(held, "nodes"))
         .unionByName(total(edges, "edges"))
     )
+
+
+def titled_parts(spark, sf_dir):
+    """Parts under their names, some led by titles, some with the brand in parentheses."""
+    led = F.element_at(F.array(*[F.lit(x) for x in ("", "Dr. ", "The Captain ", "Prof ")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    brand = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" ("), "p_brand", F.lit(")"))).otherwise("")
+    return star.table(spark, sf_dir, "part").select(star.node_id("part", "p_partkey").alias("id"), F.concat(led, "p_name", brand).alias("label"))
+
+
+_TITLED = """parts AS (SELECT 'part:' || p_partkey AS id, p_name, p_brand, ['', 'Dr. ', 'The Captain ', 'Prof '][p_partkey % 4 + 1] || p_name AS plain, CASE WHEN p_size % 3 = 0 THEN ' (' || p_brand || ')' ELSE '' END AS brand FROM part),
+once AS (SELECT *, regexp_replace(plain, '^(dr|the|prof)\\.? +', '', 'i') AS one FROM parts), unled AS (SELECT *, regexp_replace(one, '^captain ', '', 'i') AS two FROM once),
+forms AS (SELECT DISTINCT id, lower(unnest([plain, one, two, plain || brand, one || brand, two || brand])) AS term FROM unled)"""
+
+
+@query(f"WITH {_TITLED} SELECT id, string_agg(term, '|' ORDER BY term) AS terms FROM forms GROUP BY id")
+def j7_label_terms(spark, sf_dir):
+    return titled_parts(spark, sf_dir).select("id", F.array_join(surface.label_terms(F.col("label")), "|").alias("terms"))
+
+
+@query("SELECT 'part:' || p_partkey AS id, min('part:' || p_partkey) OVER (PARTITION BY lower(p_name)) AS entity FROM part")
+def j7_alias_classes(spark, sf_dir):
+    """Parts that a chain of shared terms leads to: those of one name, whatever leads or follows it."""
+    return surface.alias_classes(titled_parts(spark, sf_dir))
