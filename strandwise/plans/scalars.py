@@ -76,7 +76,7 @@ def a2_file_classes(spark, sf_dir):
 )
 def j18_diff_hunks(spark, sf_dir):
     part = t(spark, sf_dir, "part")
-    head = part.select(F.col("p_brand").alias("doc"), F.lit(0).cast("long").alias("no"), F.concat(F.lit("+++ b/src/"), F.lower("p_brand"), F.lit(".py")).alias("line")).distinct()
+    head = part.select(F.col("p_brand").alias("doc"), F.lit(-1).cast("long").alias("no"), F.concat(F.lit("+++ b/src/"), F.lower("p_brand"), F.lit(".py")).alias("line")).distinct()
     hunk = F.concat(F.lit("@@ -1,2 +"), (10 * F.col("p_size")).cast("string"), F.lit(","), (F.col("p_partkey") % 5).cast("string"), F.lit(" @@"))
     return tx.parse_diff(head.unionByName(part.select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("no"), hunk.alias("line"))))
 
