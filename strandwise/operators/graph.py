@@ -320,12 +320,28 @@ def modularity(adj: DataFrame, membership: DataFrame) -> DataFrame:
 def betweenness(adj: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, score): Brandes' dependencies summed over the sources, all of which advance together.
 
-    The state is a row for each source and node that it reaches: give all
-    nodes as sources for exact scores of a small graph, a block of them at a
-    time, or a sample, for a large one; scores of blocks add up.
+    A node whose only neighbour has others is on no path between two others:
+    it is folded into that neighbour, as a target and, if it is one, a source
+    more there, and what paths from or to it add to the neighbour is counted.
+    The state is a row for each of the other sources and node that it reaches:
+    give all nodes as sources for exact scores where these are few, a block of
+    them at a time, or a sample, for a large graph; scores of blocks add up.
     """
-    adj = settle(adj)
-    front = settle(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
+    adj = settle(adj.select("id", "nbr"))
+    ends = adj.select("id", "nbr", F.lit(1).alias("n")).unionByName(adj.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), F.lit(1).alias("n")))
+    single = ends.groupBy("id").agg(F.min("nbr").alias("hub"), F.max("nbr").alias("other"), F.count(F.lit(1)).alias("n")).where("hub = other and hub != id and n = 2")
+    both = adj.join(adj.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")), ["id", "nbr"], "left_semi")
+    # one link each way; of two nodes that have only one another, neither is folded
+    leaf = single.select("id", "hub").join(both.select("id", F.col("nbr").alias("hub")), ["id", "hub"], "left_semi")
+    leaf = settle(leaf.join(single.select(F.col("id").alias("hub")), "hub", "left_anti").select("id", "hub"))
+    asked = sources.select("id").distinct().withColumn("asked", F.lit(1))
+    member = ends.select("id").unionByName(sources.select("id")).distinct().join(leaf, "id", "left").join(asked, "id", "left")
+    member = settle(member.select("id", F.coalesce("hub", "id").alias("core"), F.col("hub").isNotNull().cast("long").alias("leaf"), F.coalesce("asked", F.lit(0)).cast("long").alias("asked")))
+    core = settle(
+        member.groupBy(F.col("core").alias("id")).agg(F.count(F.lit(1)).alias("targets"), F.sum("asked").alias("asked"), F.sum("leaf").alias("leaves"), F.sum(F.col("leaf") * F.col("asked")).alias("asked_leaves"))
+    )
+    adj = settle(adj.join(leaf, "id", "left_anti").join(leaf.select(F.col("id").alias("nbr")), "nbr", "left_anti").select("id", "nbr"))
+    front = settle(core.where("asked > 0").select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
     levels, seen = [front], front.select("s", "id")
     while True:
         step = levels[-1].join(adj, "id").groupBy("s", F.col("nbr").alias("id")).agg(F.sum("paths").alias("paths"))
@@ -334,14 +350,24 @@ def betweenness(adj: DataFrame, sources: DataFrame) -> DataFrame:
             break
         levels.append(nxt)
         seen = seen.unionByName(nxt.select("s", "id"))
+    weight = core.select("id", "targets")
     flow = levels[-1].withColumn("score", F.lit(0.0))
     total = flow.select("s", "id", "score").where("false")
     for level in reversed(levels[:-1]):
         total = total.unionByName(flow.select("s", "id", "score"))
-        give = flow.select("s", F.col("id").alias("nbr"), ((1 + F.col("score")) / F.col("paths")).alias("unit"))
+        give = flow.join(weight, "id").select("s", F.col("id").alias("nbr"), ((F.col("targets") + F.col("score")) / F.col("paths")).alias("unit"))
         back = level.join(adj, "id").join(give, ["s", "nbr"]).groupBy("s", "id").agg(F.sum(F.col("paths") * F.col("unit")).alias("score"))
         flow = settle(level.join(back, ["s", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
-    return total.where("s != id").groupBy("id").agg(F.sum("score").alias("score"))
+    asking = core.select(F.col("id").alias("s"), "asked")
+    between = total.where("s != id").join(asking, "s").groupBy("id").agg(F.sum(F.col("score") * F.col("asked")).alias("score"))
+    # sources that come to a node from elsewhere, and targets that its own sources go to
+    come = seen.where("s != id").join(asking, "s").groupBy("id").agg(F.sum("asked").alias("come"))
+    go = seen.join(weight, "id").groupBy(F.col("s").alias("id")).agg(F.sum("targets").alias("go"))
+    at = settle(core.join(between, "id", "left").join(come, "id", "left").join(go, "id", "left").fillna(0, ["score", "come", "go"]))
+    own = F.col("leaves") * F.col("come") + F.when(F.col("asked_leaves") > 0, F.col("asked_leaves") * (F.col("go") - 2)).otherwise(0)
+    whole = at.select(F.col("id").alias("core"), (F.col("score") + own).alias("score"), (F.col("come") + F.col("asked")).alias("reach"))
+    scored = member.join(whole, "core").where(F.col("reach") > F.col("asked"))
+    return scored.select("id", F.when(F.col("leaf") == 1, 0.0).otherwise(F.col("score")).alias("score"))
 
 
 def hierarchy(arcs: DataFrame) -> DataFrame:
