@@ -161,9 +161,14 @@ def canonical_labels(nodes: DataFrame) -> DataFrame:
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that are in only one of two frames: (*keys, change)."""
-    a, b = old.select(*keys).distinct(), new.select(*keys).distinct()
-    return b.join(a, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, keys, "left_anti").withColumn("change", F.lit("removed")))
+    """Keys that are in only one of two frames: (*keys, change). Nulls are equal.
+
+    Both sides are told apart by a flag and merged by one aggregate, so a key
+    is shuffled once for each task that has it and nothing is sorted.
+    """
+    side = lambda df, flag: df.select(*keys, F.lit(flag).alias("side"))
+    sides = side(old, 0).unionByName(side(new, 1)).groupBy(*keys).agg(F.min("side").alias("first"), F.max("side").alias("last"))
+    return sides.where("first = last").select(*keys, F.when(F.col("first") == 1, "added").otherwise("removed").alias("change"))
 
 
 def prune_sources(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
