@@ -22,6 +22,8 @@ from .iterate import resolve_chains, settle
 
 #: Unchanged lines around a hunk.
 CONTEXT = 3
+#: Characters of texts whose diffs are held at once.
+HELD = 1_000_000
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -149,11 +151,15 @@ def text_diffs(pairs: DataFrame, context: int = CONTEXT) -> DataFrame:
 
     def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for path, old, new in zip(batch["path"], batch["old"], batch["new"]):
                 before = split_lines(old)
                 found = hunks(before, split_lines(new), context)
                 rows.append((path, found, "".join(apply_hunks(before, found))))
+                held += len(old or "") + len(new or "")
+                if held >= HELD:
+                    yield pd.DataFrame(rows, columns=["path", "hunks", "applied"])
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=["path", "hunks", "applied"])
 
     return pairs.select("path", "old", "new").mapInPandas(diff, f"path string, hunks {HUNKS}, applied string")
