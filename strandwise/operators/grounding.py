@@ -1,11 +1,9 @@
 """Citation grounding: node terms found in source units by a positional index, quoted verbatim.
 
 Sources are cut into paragraphs with pages, sections and offsets. Each paragraph
-is folded (accents, ligatures, case, white space, dotted initials), and a table
-of positions holds every word with its place in the paragraph, in the folded
-form and in the source. A term is sought by its rarest word, the candidates are
-joined to the positions of its other words, and what stands there is compared
-whole. Each quote is a slice of its source; what can't be grounded is an issue.
+is folded (accents, ligatures, case, white space, dotted initials), and each of
+its words is held with its place there. A term is sought by its rarest word,
+and what stands around that is compared whole. Each quote is a slice of its source; what can't be grounded is an issue.
 """
 
 from __future__ import annotations
@@ -80,6 +78,8 @@ def fold(text: str) -> tuple[str, np.ndarray]:
 
 
 def folded(text: str | None) -> str:
+    if text and text.isascii() and "." not in text:
+        return " ".join(text.lower().split())
     return fold(text or "")[0]
 
 
@@ -204,11 +204,8 @@ def node_terms(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.explode(_terms("node_type", "id", "label", "aliases")).alias("t")).select("id", "t.*")
 
 
-def _meets(word: Column, term: Column, j: Column, n: Column) -> Column:
-    """Whether a source's word can be the term's word j of n: whole inside a term, open to the left at its beginning, to the right at its end."""
-    return F.when(n == 1, F.contains(word, term)).when(j == 0, F.endswith(word, term)).when(j == n - 1, F.startswith(word, term)).otherwise(word == term)
-
-
+#: Words sought that may be broadcast; words of a text that are held together with what stands around them.
+BROADCAST_WORDS, HELD_WORDS = 1_000_000, 32
 GRAM = 3
 
 
@@ -223,13 +220,14 @@ def occurrences(terms: DataFrame, units: DataFrame, wanted: DataFrame | None = N
 
     wanted, if given, are the pairs (id, source) to be looked at. The source's
     words that a term's word can be are found over the vocabulary, by stretches
-    of three characters; each term's rarest word then fetches its positions,
-    and the positions of its other words are joined to those candidates. A term
-    may begin or end within a word. What is shuffled by a word are positions
-    of terms' rarest words only.
+    of three characters; where each term's rarest word stands, the text around
+    it is compared with the whole term. A term may begin or end within a word.
+    Up to BROADCAST_WORDS words that are sought are broadcast, so that of the
+    text nothing is shuffled but the places found; beyond, stretches of it
+    meet them by the word.
     """
-    positions = units.select("source", "unit", F.posexplode("words").alias("n", "w")).select("source", "unit", F.col("w.pos").alias("pos"), F.col("w.word").alias("word"), F.col("w.at").alias("place"))
-    vocabulary = settle(positions.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    words = units.select(F.explode("words").alias("w")).select(F.col("w.word").alias("word"))
+    vocabulary = settle(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     asked = terms.where(F.size("words") > 0)
     parts = asked.select("id", "order", F.size("words").alias("n"), F.posexplode("words").alias("j", "part"))
     shape = F.when(F.col("n") == 1, "in").when(F.col("j") == 0, "end").when(F.col("j") == F.col("n") - 1, "begin").otherwise("whole")
@@ -244,23 +242,29 @@ def occurrences(terms: DataFrame, units: DataFrame, wanted: DataFrame | None = N
     cost = spread.groupBy("part", "shape").agg(F.sum("df").alias("cost"))
     rare = parts.join(cost, ["part", "shape"], "left").groupBy("id", "order", "n").agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "j", "part", "shape")).alias("rare"))
     anchors = rare.where("rare.cost > 0").select("id", "order", "n", F.col("rare.j").alias("anchor"), F.col("rare.part").alias("part"), F.col("rare.shape").alias("shape"))
-    sought = anchors.join(spread.select("part", "shape", "word"), ["part", "shape"]).select("id", "order", "n", "anchor", "word")
-    hits = positions.join(sought, "word")
-    if wanted is not None:
-        hits = hits.join(wanted, ["id", "source"], "left_semi")
-    candidates = settle(hits.select("id", "order", "n", "source", "unit", (F.col("pos") - F.col("anchor")).alias("first")).where("first >= 0"))
-    needed = candidates.join(parts.select("id", "order", "j", "part"), ["id", "order"]).withColumn("pos", F.col("first") + F.col("j"))
-    held = needed.join(positions, ["source", "unit", "pos"]).where(_meets(F.col("word"), F.col("part"), F.col("j"), F.col("n")))
-    # where the term's first word begins: at the end of a longer word, or anywhere in a single one
-    begins = F.min(F.when(F.col("j") == 0, F.struct("place", "word"))).alias("head")
-    phrases = held.groupBy("id", "order", "n", "source", "unit", "first").agg(F.count(F.lit(1)).alias("k"), begins).where("k = n")
-    whole = phrases.join(asked.select("id", "order", "term", "words", F.col("at").alias("lead")), ["id", "order"]).join(units.select("source", "unit", "folded"), ["source", "unit"])
-    head = F.when(F.col("n") > 1, F.array(F.length("head.word") - F.length(F.col("words")[0]))).otherwise(
-        F.filter(F.sequence(F.lit(0), F.length("head.word") - F.length(F.col("words")[0])), lambda k: F.substr("head.word", k + 1, F.length(F.col("words")[0])) == F.col("words")[0])
-    )
-    placed = whole.select("id", "order", "term", "source", "unit", "folded", F.explode(head).alias("k"), "head", "lead").withColumn("at", F.col("head.place") + F.col("k") - F.col("lead"))
-    stands = F.substr("folded", F.col("at") + 1, F.length("term")) == F.col("term")
-    return placed.where((F.col("at") >= 0) & stands).select("id", "order", "source", "unit", "at")
+    # how far into the term its rarest word begins, after each of the words before it
+    step = lambda i, k: F.position(F.get("words", k), F.col("term"), i + F.length(F.get("words", k - 1)) + 1) - 1
+    lead = F.when(F.col("anchor") > 0, F.aggregate(F.sequence(F.lit(1), F.col("anchor")), F.col("at").cast("int"), step)).otherwise(F.col("at")).cast("int")
+    begins = anchors.join(asked.select("id", "order", "term", "words", "at"), ["id", "order"]).select("id", "order", "n", "anchor", "part", "shape", "term", lead.alias("lead"))
+    sought = settle(begins.join(spread.select("part", "shape", "word"), ["part", "shape"]).select("id", "order", "shape", "part", "term", "lead", "word"))
+    n, longest = sought.agg(F.count(F.lit(1)), F.max(F.length("term"))).first()
+    each = _stretches(units, longest or 0).select("source", "unit", "from", "around", F.explode("held").alias("w"))
+    hits = each.select("source", "unit", "from", "around", F.col("w.word").alias("word"), F.col("w.at").alias("place")).join(F.broadcast(sought) if n <= BROADCAST_WORDS else sought, "word")
+    # a first word ends its text's word, a single one may stand anywhere in it, others begin it
+    within = F.when(F.col("shape") == "end", F.array(F.length("word") - F.length("part"))).when(F.col("shape") == "in", F.sequence(F.lit(0), F.length("word") - F.length("part"))).otherwise(F.array(F.lit(0)))
+    placed = hits.select("id", "order", "term", "source", "unit", "from", "around", (F.col("place") - F.col("lead")).alias("begin"), F.explode(within).alias("k")).withColumn("at", F.col("begin") + F.col("k"))
+    stands = F.substr("around", F.col("at") - F.col("from") + 1, F.length("term")) == F.col("term")
+    found = placed.where((F.col("at") >= 0) & stands).select("id", "order", "source", "unit", "at")
+    return found if wanted is None else found.join(wanted, ["id", "source"], "left_semi")
+
+
+def _stretches(units: DataFrame, longest: int) -> DataFrame:
+    """(source, unit, from, around, held): HELD_WORDS words at a time of each unit with the folded text around them, as far as a term of that length from or to one of them can go; from is where that begins."""
+    first = F.greatest(F.lit(0), F.col("held")[0]["at"] - longest)
+    last = F.element_at("held", -1)
+    cut = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(HELD_WORDS)), lambda i: F.slice("words", i, HELD_WORDS))
+    held = units.where(F.size("words") > 0).select("source", "unit", "folded", F.explode(cut).alias("held")).withColumn("from", first)
+    return held.select("source", "unit", "from", F.substr("folded", F.col("from") + 1, last["at"] + F.length(last["word"]) + longest - F.col("from")).alias("around"), "held")
 
 
 def quote_at(text: str, at: int) -> tuple[int, int, str]:

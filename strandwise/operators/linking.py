@@ -53,7 +53,9 @@ def front_matter(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("raw_span", T.StringType()), T.StructField("normalized", T.StringType())]))
+#: Distinct known forms that may be broadcast.
+BROADCAST_FORMS = 1_000_000
 
 
 @F.pandas_udf(SPANS)
@@ -68,7 +70,8 @@ def _swept(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
             if a >= free:
                 free = a + n
                 if not (a and word(form[a - 1]) or free < len(form) and word(form[free])):
-                    spans.append((int(at[a]), int(at[free - 1]) + 1))
+                    first, end = int(at[a]), int(at[free - 1]) + 1
+                    spans.append((first, end, text[first:end], folded(text[first:end])))
         out.append(spans)
     return pd.Series(out)
 
@@ -77,7 +80,7 @@ def _matched(pattern: str):
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
         run = re.compile(pattern).finditer
-        return texts.map(lambda t: [m.span() for m in run(t) if m.end() > m.start()])
+        return texts.map(lambda t: [(*m.span(), m.group(), folded(m.group())) for m in run(t) if m.end() > m.start()])
 
     return spans
 
@@ -139,28 +142,30 @@ def link_entities(sources: DataFrame, kinds: Sequence[LinkType], registry: DataF
     hits = occurrences(terms, units, wanted).join(terms.select("id", "order", F.length("term").alias("size")), ["id", "order"])
     gathered = hits.groupBy("id", "source", "unit").agg(F.collect_list(F.struct("at", "size")).alias("h"))
     whole = units.select("source", "unit", "page", F.col("start").alias("offset"), "text")
-    swept = gathered.join(whole, ["source", "unit"]).select(F.col("id").alias("scope"), "source", "page", "offset", "text", F.inline(_swept("text", "h.at", "h.size")), F.lit(LEXICON).alias("detector"))
-    found = swept
+    swept = gathered.join(whole, ["source", "unit"]).select(F.col("id").alias("scope"), "source", "page", "offset", _swept("text", "h.at", "h.size").alias("spans"))
+    # no text goes beside its spans
+    each_span = lambda df, detector: df.select("scope", "source", "page", "offset", F.inline("spans"), F.lit(detector).alias("detector"))
+    found = each_span(swept, LEXICON)
+    # what a pattern finds counts only if the registry knows it
+    member = known.select("scope", F.col("form").alias("normalized")).distinct()
+    member = F.broadcast(member) if member.count() <= BROADCAST_FORMS else member
     for k in kinds:
         if k.pattern:
             mine = scopes.where(F.col("node_type") == k.node_type).select("scope", "source")
-            spans = whole.join(mine, "source").select("scope", "source", "page", "offset", "text", F.inline(_matched(k.pattern)("text")), F.lit(PATTERN).alias("detector"))
-            found = found.unionByName(spans)
-    raw = lambda: F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    spans = found.select("scope", "source", "page", (F.col("offset") + F.col("start")).alias("start"), (F.col("offset") + F.col("end")).alias("end"), raw().alias("raw_span"), "detector")
+            spans = whole.join(mine, "source").select("scope", "source", "page", "offset", _matched(k.pattern)("text").alias("spans"))
+            found = found.unionByName(each_span(spans, PATTERN).join(member, ["scope", "normalized"], "left_semi").select(*found.columns))
+    place = lambda side: (F.col("offset") + F.col(side)).alias(side)
+    spans = found.select("scope", "source", "page", place("start"), place("end"), "raw_span", "normalized", "detector")
     bad = None
     if proposals is not None:
         asked = proposals.join(scopes.select("source", "node_type", "scope"), ["source", "node_type"]).join(sources.select("source", "text"), "source")
+        raw = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
         stands = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("text"))
-        told = settle(asked.select("scope", "node_type", "source", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.coalesce(stands, F.lit(False)).alias("ok"), raw().alias("raw_span")))
+        told = settle(asked.select("scope", "node_type", "source", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.coalesce(stands, F.lit(False)).alias("ok"), raw.alias("raw_span")))
         bad = told.where(~F.col("ok"))
         paged = told.where("ok").join(units.select("source", "page", F.col("start").alias("a"), F.col("end").alias("b")), "source", "left").where("a is null or a <= start")
         good = paged.groupBy("scope", "source", "start", "end", "raw_span").agg(F.max("page").alias("page"))
-        spans = spans.unionByName(good.select("scope", "source", F.coalesce("page", F.lit(1)).alias("page"), "start", "end", "raw_span", F.lit(PROPOSAL).alias("detector")))
-    spans = spans.withColumn("normalized", _form("raw_span"))
-    # what a pattern finds counts only if the registry knows it
-    member = known.select("scope", F.col("form").alias("normalized")).distinct()
-    spans = spans.where(F.col("detector") != PATTERN).unionByName(spans.where(F.col("detector") == PATTERN).join(member, ["scope", "normalized"], "left_semi").select(*spans.columns))
+        spans = spans.unionByName(good.select("scope", "source", F.coalesce("page", F.lit(1)).alias("page"), "start", "end", "raw_span", F.lit(PROPOSAL).alias("detector"), _form("raw_span").alias("normalized")))
     once = settle(dedup_occurrences(spans, ["scope", "source", "start", "end"], "detector"))
     asked = once.select("scope", "normalized").distinct()
     per = asked.join(known.withColumnRenamed("form", "normalized"), ["scope", "normalized"]).groupBy("scope", "normalized").agg(
