@@ -224,8 +224,13 @@ def occurrences(terms: DataFrame, units: DataFrame, wanted: DataFrame | None = N
     it is compared with the whole term. A term may begin or end within a word.
     Up to BROADCAST_WORDS words that are sought are broadcast, so that of the
     text nothing is shuffled but the places found; beyond, stretches of it
-    meet them by the word.
+    meet them by the word. Texts are searched once, however often the places
+    are read.
     """
+    return settle(_places(terms, units, wanted))
+
+
+def _places(terms: DataFrame, units: DataFrame, wanted: DataFrame | None) -> DataFrame:
     words = units.select(F.explode("words").alias("w")).select(F.col("w.word").alias("word"))
     vocabulary = settle(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     asked = terms.where(F.size("words") > 0)
@@ -267,6 +272,56 @@ def _stretches(units: DataFrame, longest: int) -> DataFrame:
     return held.select("source", "unit", "from", F.substr("folded", F.col("from") + 1, last["at"] + F.length(last["word"]) + longest - F.col("from")).alias("around"), "held")
 
 
+def _meets(word: Column, term: Column, j: Column, n: Column) -> Column:
+    """Whether a source's word can be the term's word j of n: whole inside a term, open to the left at its beginning, to the right at its end."""
+    return F.when(n == 1, F.contains(word, term)).when(j == 0, F.endswith(word, term)).when(j == n - 1, F.startswith(word, term)).otherwise(word == term)
+
+
+def joined_occurrences(terms: DataFrame, units: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """What `occurrences` gives, by joins of positions, for long and single words' terms of grounding: (id, order, source, unit, at), where in a folded unit each of the terms (id, order, term, words, at) stands, everywhere.
+
+    wanted, if given, are the pairs (id, source) to be looked at. The source's
+    words that a term's word can be are found over the vocabulary, by stretches
+    of three characters; each term's rarest word then fetches its positions,
+    and the positions of its other words are joined to those candidates. A term
+    may begin or end within a word. What is shuffled by a word are positions
+    of terms' rarest words only.
+    """
+    positions = units.select("source", "unit", F.posexplode("words").alias("n", "w")).select("source", "unit", F.col("w.pos").alias("pos"), F.col("w.word").alias("word"), F.col("w.at").alias("place"))
+    vocabulary = settle(positions.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    asked = terms.where(F.size("words") > 0)
+    parts = asked.select("id", "order", F.size("words").alias("n"), F.posexplode("words").alias("j", "part"))
+    shape = F.when(F.col("n") == 1, "in").when(F.col("j") == 0, "end").when(F.col("j") == F.col("n") - 1, "begin").otherwise("whole")
+    parts = settle(parts.withColumn("shape", shape))
+    forms = parts.select("part", "shape").distinct()
+    edges = forms.where("shape != 'whole'").withColumn("gram", F.substr("part", F.lit(1), F.lit(GRAM)))
+    spelled = vocabulary.select("word", "df", F.explode(_grams(F.col("word"))).alias("gram"))
+    fits = F.when(F.col("shape") == "in", F.contains("word", "part")).when(F.col("shape") == "end", F.endswith("word", "part")).otherwise(F.startswith("word", "part"))
+    wide = edges.join(spelled, "gram").where(fits).select("part", "shape", "word", "df")
+    exact = forms.where("shape = 'whole'").join(vocabulary.withColumn("part", F.col("word")), "part").select("part", "shape", "word", "df")
+    spread = settle(wide.unionByName(exact))
+    cost = spread.groupBy("part", "shape").agg(F.sum("df").alias("cost"))
+    rare = parts.join(cost, ["part", "shape"], "left").groupBy("id", "order", "n").agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "j", "part", "shape")).alias("rare"))
+    anchors = rare.where("rare.cost > 0").select("id", "order", "n", F.col("rare.j").alias("anchor"), F.col("rare.part").alias("part"), F.col("rare.shape").alias("shape"))
+    sought = anchors.join(spread.select("part", "shape", "word"), ["part", "shape"]).select("id", "order", "n", "anchor", "word")
+    hits = positions.join(sought, "word")
+    if wanted is not None:
+        hits = hits.join(wanted, ["id", "source"], "left_semi")
+    candidates = settle(hits.select("id", "order", "n", "source", "unit", (F.col("pos") - F.col("anchor")).alias("first")).where("first >= 0"))
+    needed = candidates.join(parts.select("id", "order", "j", "part"), ["id", "order"]).withColumn("pos", F.col("first") + F.col("j"))
+    held = needed.join(positions, ["source", "unit", "pos"]).where(_meets(F.col("word"), F.col("part"), F.col("j"), F.col("n")))
+    # where the term's first word begins: at the end of a longer word, or anywhere in a single one
+    begins = F.min(F.when(F.col("j") == 0, F.struct("place", "word"))).alias("head")
+    phrases = held.groupBy("id", "order", "n", "source", "unit", "first").agg(F.count(F.lit(1)).alias("k"), begins).where("k = n")
+    whole = phrases.join(asked.select("id", "order", "term", "words", F.col("at").alias("lead")), ["id", "order"]).join(units.select("source", "unit", "folded"), ["source", "unit"])
+    head = F.when(F.col("n") > 1, F.array(F.length("head.word") - F.length(F.col("words")[0]))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.length("head.word") - F.length(F.col("words")[0])), lambda k: F.substr("head.word", k + 1, F.length(F.col("words")[0])) == F.col("words")[0])
+    )
+    placed = whole.select("id", "order", "term", "source", "unit", "folded", F.explode(head).alias("k"), "head", "lead").withColumn("at", F.col("head.place") + F.col("k") - F.col("lead"))
+    stands = F.substr("folded", F.col("at") + 1, F.length("term")) == F.col("term")
+    return placed.where((F.col("at") >= 0) & stands).select("id", "order", "source", "unit", "at")
+
+
 def quote_at(text: str, at: int) -> tuple[int, int, str]:
     """(start, end, quote): a window of text around `at`, grown to where a quote may begin and end; dots tell that more stands there."""
     a, b = max(0, at - BEFORE), min(len(text), at + AFTER)
@@ -325,10 +380,10 @@ def ground(nodes: DataFrame, sources: DataFrame, wanted: DataFrame | None = None
     units = settle(source_units(sources, key, text))
     terms = settle(node_terms(nodes))
     pairs = None if wanted is None else wanted.select("id", F.col("source").cast("string").alias("source")).distinct()
-    plain = occurrences(terms.where("how = 'text'").drop("how"), units, pairs)
+    plain = joined_occurrences(terms.where("how = 'text'").drop("how"), units, pairs)
     # the first of a node's terms that stands in the paragraph, where it stands first
     first = plain.groupBy("id", "source", "unit").agg(F.min(F.struct("order", "at")).alias("f")).select("id", "source", "unit", F.col("f.order").alias("order"), F.col("f.at").alias("at"))
-    exact = occurrences(
+    exact = joined_occurrences(
         terms.where("how in ('raw', 'word')").select("id", "order", F.lower("term").alias("term"), "words", "at"), units, pairs
     ).select("id", "order", "source", "unit").distinct()
     named = terms.where("how = 'section'").select("id", "order", "words", F.col("words")[0].alias("head"), F.size("words").alias("n"))
@@ -380,7 +435,7 @@ def _rationales(nodes: DataFrame, units: DataFrame, pairs: DataFrame | None) ->
         return pd.Series(out)
 
     each = settle(nodes.where("rationale is not null").select("id", F.lower("node_type").alias("kind"), F.explode(spans("rationale")).alias("s")).select("id", "kind", "s.*"))
-    found = occurrences(each.select("id", "order", "term", "words", "at"), units, pairs)
+    found = joined_occurrences(each.select("id", "order", "term", "words", "at"), units, pairs)
     first = found.groupBy("id", "order", "source").agg(F.min(F.struct("unit", "at")).alias("f"))
     joined = first.join(each.select("id", "order", "kind", "quoted", "quote", "term"), ["id", "order"])
     # all of it counts only where no quoted stretch of it stands
