@@ -38,6 +38,14 @@ def query_terms(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.rlike("^[a-z]{1,2}$"))
 
 
+def term_counts(terms: Column) -> Column:
+    """(term, tf) of each distinct term of an array, within the row: sorted terms are cut where they change, in linear space."""
+    bound = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a value that several places read is made once
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    runs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf")))
+    return bound(F.sort_array(terms), lambda s: bound(starts(s), lambda at: runs(s, at)))
+
+
 def drop_stopwords(terms: Column) -> Column:
     """Terms without stopwords, unless all are."""
     kept = F.filter(terms, lambda w: ~w.isin(*STOPWORDS))
