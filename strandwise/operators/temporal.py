@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .iterate import settle
+
 
 def valid() -> Column:
     """A start, and no end or one at or after it. An end that is present but null makes the row invalid."""
@@ -76,7 +78,12 @@ def suffix_paths(path: Column) -> Column:
 
 
 def path_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(path, other): equal, or one ends with a slash and the other."""
-    a = left.select("path").distinct().withColumn("key", F.explode(suffix_paths(F.col("path"))))
-    b = right.select("other").distinct().withColumn("key", F.explode(suffix_paths(F.col("other"))))
-    return a.join(b, "key").where("key = path or key = other").select("path", "other").distinct()
+    """(path, other): equal, or one ends with a slash and the other.
+
+    A whole path meets the suffixes of the other side, never a suffix
+    suffixes, so an end that many paths share makes no pairs of its own.
+    """
+    a, b = settle(left.select("path").distinct()), settle(right.select("other").distinct())
+    longer = a.select("path", F.explode(suffix_paths(F.col("path"))).alias("other")).join(b, "other").select("path", "other")
+    shorter = b.select("other", F.explode(suffix_paths(F.col("other"))).alias("path")).where("path != other").join(a, "path").select("path", "other")
+    return longer.distinct().unionByName(shorter.distinct())
