@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -22,8 +22,8 @@ from .iterate import resolve_chains, settle
 
 #: Unchanged lines around a hunk.
 CONTEXT = 3
-#: Characters of texts whose diffs are held at once.
-HELD = 1_000_000
+#: Characters of texts whose diffs are held at once, and lines; pairs of versions that one task compares.
+HELD, HELD_LINES, TASK_PAIRS = 1_000_000, 100_000, 500
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -165,6 +165,43 @@ def text_diffs(pairs: DataFrame, context: int = CONTEXT) -> DataFrame:
     return pairs.select("path", "old", "new").mapInPandas(diff, f"path string, hunks {HUNKS}, applied string")
 
 
+def line_digests(text: Column) -> Column:
+    """The first half of the SHA-256 of each line, as `split_lines` cuts them: a line's identity in sixteen bytes."""
+    lines = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[^\n]*\n|[^\n]+"), F.lit(0))
+    return F.transform(lines, lambda x: F.unhex(F.substring(F.sha2(x.cast("binary"), 256), 1, 32)))
+
+
+def compare(pairs: DataFrame, lines_of: DataFrame) -> DataFrame:
+    """(oid, from_oid, runs) of distinct pairs of blobs (oid, lines): each stretch of lines that both have, (line, at_line, n), lines from 1.
+
+    Pairs are dealt out by number, not by bytes: a diff takes far longer than
+    its lines take to read, and a few tasks would do them all.
+    """
+    pairs = settle(pairs)
+    tasks = max(1, -(-pairs.count() // TASK_PAIRS))
+    old = lines_of.select(F.col("oid").alias("from_oid"), F.col("lines").alias("old")).repartition(tasks, "from_oid")
+    sides = pairs.join(lines_of, "oid").select("oid", "from_oid", F.col("lines").alias("new")).repartition(tasks, "from_oid").join(old, "from_oid")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, held = [], 0
+            for oid, base, before, after in zip(batch["oid"], batch["from_oid"], batch["old"], batch["new"]):
+                runs = []
+                for i, j in matched_lines(list(before), list(after)):
+                    if runs and runs[-1][0] + runs[-1][2] == j + 1 and runs[-1][1] + runs[-1][2] == i + 1:
+                        runs[-1][2] += 1
+                    else:
+                        runs.append([j + 1, i + 1, 1])
+                rows.append((oid, base, [tuple(r) for r in runs]))
+                held += len(before) + len(after)
+                if held >= HELD_LINES:
+                    yield pd.DataFrame(rows, columns=["oid", "from_oid", "runs"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["oid", "from_oid", "runs"])
+
+    return sides.select("oid", "from_oid", "old", "new").mapInPandas(link, "oid string, from_oid string, runs array<struct<line:int,at_line:int,n:int>>")
+
+
 def attribute_lines(tree: DataFrame, blobs: DataFrame, parents: DataFrame) -> DataFrame:
     """(commit, path, line, origin, origin_line): for each line of each version, the commit that it comes from; lines from 1.
 
@@ -172,6 +209,8 @@ def attribute_lines(tree: DataFrame, blobs: DataFrame, parents: DataFrame) -> Da
     text). parents: (commit, parent, nth). A file equal to a parent's comes
     from the first such parent whole. Else a line comes from the first parent
     whose file at the same path has it, by the diff, or from the commit itself.
+    Lines are compared by their digests, so texts are read once and not shuffled,
+    and equal pairs of versions are compared once.
     Rows are given for versions that differ from all parents; others are those
     of `defining`.
     """
@@ -179,24 +218,14 @@ def attribute_lines(tree: DataFrame, blobs: DataFrame, parents: DataFrame) -> Da
     fresh = own.where("commit = at").select("commit", "path", "oid")
     # the versions that each fresh one is compared with: its parents', by what they were made
     said = fresh.join(parents, "commit").join(own.select(F.col("commit").alias("parent"), "path", F.col("at").alias("from"), F.col("oid").alias("from_oid")), ["parent", "path"])
-    said = said.groupBy("commit", "path", "oid", "from", "from_oid").agg(F.min("nth").alias("nth"))
-    texts = blobs.select("oid", "text")
-    sides = said.join(texts, "oid").join(texts.select(F.col("oid").alias("from_oid"), F.col("text").alias("from_text")), "from_oid")
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                pairs = matched_lines(split_lines(r.old), split_lines(r.new))
-                yield pd.DataFrame(
-                    {"commit": r.commit, "path": r.path, "line": [j + 1 for _, j in pairs], "nth": r.nth, "at": r.at, "at_line": [i + 1 for i, _ in pairs]},
-                    columns=["commit", "path", "line", "nth", "at", "at_line"],
-                )
-
-    links = sides.select("commit", "path", "nth", F.col("from").alias("at"), F.col("from_text").alias("old"), F.col("text").alias("new")).mapInPandas(
-        link, "commit string, path string, line int, nth int, at string, at_line int"
-    )
+    said = settle(said.groupBy("commit", "path", "oid", "from", "from_oid").agg(F.min("nth").alias("nth")))
+    lines_of = settle(blobs.select("oid", line_digests(F.col("text")).alias("lines")).dropDuplicates(["oid"]))
+    found = compare(said.select("oid", "from_oid").distinct(), lines_of)
+    runs = said.join(found, ["oid", "from_oid"]).select("commit", "path", "nth", F.col("from").alias("at"), F.inline("runs"))
+    links = runs.select("commit", "path", "nth", "at", "line", "at_line", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    links = links.select("commit", "path", "nth", "at", (F.col("line") + F.col("k")).alias("line"), (F.col("at_line") + F.col("k")).alias("at_line"))
     best = links.groupBy("commit", "path", "line").agg(F.min(F.struct("nth", "at", "at_line")).alias("best"))
-    lines = fresh.join(texts, "oid").select("commit", "path", F.explode(F.sequence(F.lit(0), _line_count())).alias("line")).where("line > 0")
+    lines = fresh.join(lines_of.select("oid", F.size("lines").alias("n")), "oid").where("n > 0").select("commit", "path", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("line"))
     pointed = lines.join(best, ["commit", "path", "line"], "left").select(
         "commit", "path", "line",
         F.when(F.col("best").isNotNull(), F.struct(F.col("best.at").alias("commit"), F.col("path"), F.col("best.at_line").alias("line"))).alias("to"),
@@ -205,12 +234,6 @@ def attribute_lines(tree: DataFrame, blobs: DataFrame, parents: DataFrame) -> Da
     return resolve_chains(pointed, ["commit", "path", "line"], ["origin", "origin_line"])
 
 
-def _line_count():
-    text = F.coalesce("text", F.lit(""))
-    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return (feeds + F.when((text == "") | F.endswith(text, F.lit("\n")), 0).otherwise(1)).cast("int")
-
-
 def defining(tree: DataFrame, parents: DataFrame) -> DataFrame:
     """(commit, path, oid, at): the commit that made the version of each file of each commit, following equal files of first such parents."""
     held = tree.select("commit", "path", "oid")

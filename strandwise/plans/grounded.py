@@ -38,7 +38,7 @@ def i10_citation_grounding(spark, sf_dir):
 
 
 def document_history(spark, sf_dir):
-    """(tree, blobs, parents): five commits over all documents, made of their lines by the first digit of their digests.
+    """(tree, blobs, parents), a blob for each file of each commit: five commits over all documents, made of their lines by the first digit of their digests.
 
     c0 lacks the lines of digits 0 to 3; c1 has those of 0 and 1, c2 those of 2
     and 3; c3 merges both; c4 repeats the first line at the end.
@@ -49,7 +49,7 @@ def document_history(spark, sf_dir):
     each = F.array(*[F.struct(F.lit(c).alias("commit"), F.array_join(F.transform(v, lambda x: F.concat(x, F.lit("\n"))), "").alias("text")) for c, v in versions.items()])
     files = docs.select("path", F.inline(each)).withColumn("oid", F.sha2(F.col("text").cast("binary"), 256))
     parents = spark.createDataFrame([("c1", "c0", 0), ("c2", "c0", 0), ("c3", "c1", 0), ("c3", "c2", 1), ("c4", "c3", 0)], "commit string, parent string, nth int")
-    return files.select("commit", "path", "oid"), files.select("oid", "text").dropDuplicates(["oid"]), parents
+    return files.select("commit", "path", "oid"), files.select("oid", "text"), parents
 
 
 _LINES = "lines AS (SELECT 'doc/' || doc_id AS path, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents)"
@@ -75,6 +75,7 @@ SELECT path, added::BIGINT AS added, 0::BIGINT AS removed, sha256(applied) AS ap
 )
 def k16_text_diffs(spark, sf_dir):
     tree, blobs, _ = document_history(spark, sf_dir)
+    blobs = blobs.dropDuplicates(["oid"])
     side = lambda c, name: tree.where(F.col("commit") == c).join(blobs, "oid").select("path", F.col("text").alias(name))
     found = revisions.text_diffs(side("c0", "old").join(side("c4", "new"), "path"))
     count = lambda sign: F.size(F.filter(F.flatten(F.transform("hunks", lambda h: h["lines"])), lambda x: F.startswith(x, F.lit(sign)))).cast("long")
