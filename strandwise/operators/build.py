@@ -10,6 +10,8 @@ from strandwise.functions.text import nfkc
 from .iterate import settle
 
 EDGE_KEY = ["src", "tgt", "relation"]
+#: Ends that are broadcast to the edges; rows of one task where they are too many.
+BROADCAST_ENDS, TASK_EDGES = 2_000_000, 500_000
 #: Confidence scores of an edge's evidence; search weights have a table of their own.
 EVIDENCE_SCORE = {"EXTRACTED": 1.0, "INFERRED": 0.5, "AMBIGUOUS": 0.2}
 
@@ -57,10 +59,30 @@ def merge_intervals(observed: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, "t", F.when(~F.col("open"), F.col("last")).alias("t_end"), (~F.col("open")).alias("has_t_end"))
 
 
+def missing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id): ends of edges that are no nodes, settled. Each task merges its ends before they are shuffled, and no edge is sorted."""
+    ends = edges.select(F.explode(F.array("src", "tgt")).alias("id"), F.lit(1).alias("side"))
+    return settle(ends.unionByName(nodes.select("id", F.lit(0).alias("side"))).groupBy("id").agg(F.min("side").alias("side")).where("side = 1 and id is not null").select("id"))
+
+
+def join_ends(edges: DataFrame, ends: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Edges joined to settled ends, which are broadcast up to a measured number; beyond it, parts are as many as edges need.
+
+    Spark would choose by bytes after compression, and ids of one form are a small part of what they take in memory.
+    """
+    if ends.count() <= BROADCAST_ENDS:
+        return edges.join(F.broadcast(ends), on, how)
+    parts = max(1, -(-edges.count() // TASK_EDGES))
+    return edges.repartition(parts, *on).join(ends.repartition(parts, *on).hint("merge"), on, how)
+
+
 def keep_live_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges both of whose endpoints are nodes."""
-    ids = nodes.select("id").distinct()
-    return edges.join(ids, edges["src"] == ids["id"], "left_semi").join(ids, edges["tgt"] == ids["id"], "left_semi")
+    """Edges both of whose endpoints are nodes: those without an end that is missing."""
+    gone = missing_ends(edges, nodes)
+    kept = edges.where("src is not null and tgt is not null")
+    for end in ("src", "tgt"):
+        kept = join_ends(kept, gone.select(F.col("id").alias(end)), [end], "left_anti")
+    return kept.select(*edges.columns)
 
 
 def merge_nodes(extracted: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -179,13 +201,14 @@ def prune_sources(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(subject, problem): missing fields, unknown confidences, dangling endpoints; `commit:` and `branch:` ids are external."""
-    ids = nodes.select("id").distinct()
+    external = F.col("id").rlike("^(commit|branch):")
+    gone = missing_ends(edges, nodes).where(~external)
     say = lambda df, subject, problem: df.select(subject.alias("subject"), F.lit(problem).alias("problem"))
     name = F.concat_ws(" ", "src", "relation", "tgt")
     out = say(nodes.where("id is null or label is null or source_file is null"), F.coalesce("id", F.lit("")), "node misses a field")
     out = out.unionByName(say(edges.where("confidence is null or confidence not in ('EXTRACTED', 'INFERRED', 'AMBIGUOUS')"), name, "unknown confidence"))
     for end in ("src", "tgt"):
-        dangling = edges.join(ids, edges[end] == ids["id"], "left_anti").where(~F.col(end).rlike("^(commit|branch):"))
+        dangling = join_ends(edges, gone.select(F.col("id").alias(end)), [end], "left_semi")
         out = out.unionByName(say(dangling, name, f"{end} doesn't exist"))
     return out
 

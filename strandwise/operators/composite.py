@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .analyze import degrees
+from .build import join_ends
 from .graph import bfs, personalized_rank
 from .iterate import settle
 
@@ -113,11 +114,25 @@ def token_reduction(corpus: DataFrame, text: str, answer_chars: DataFrame) -> Da
 
 
 def validate_profile(nodes: DataFrame, edges: DataFrame, types: list[str], relations: dict[str, tuple[str, str]]) -> DataFrame:
-    """(subject, problem): node types and relation ends that a profile doesn't declare. The profile is a few names."""
+    """(subject, problem): node types and relation ends that a profile doesn't declare. The profile is a few names; ids are unique.
+
+    Distinct ends meet their nodes, and only those that are missing or of a
+    type that their relation doesn't declare meet the edges.
+    """
     bad_nodes = nodes.where(~F.col("node_type").isin(types)).select(F.col("id").alias("subject"), F.lit("undeclared type").alias("problem"))
-    ends = edges.join(nodes.select(F.col("id").alias("src"), F.col("node_type").alias("s")), "src").join(nodes.select(F.col("id").alias("tgt"), F.col("node_type").alias("t")), "tgt")
-    declared = F.lit(False)
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("src").alias("id")), F.struct(F.lit(1).alias("side"), F.col("tgt").alias("id")))
+    ends = edges.select("relation", F.inline(sides)).distinct()
+    declared, known = F.lit(False), list(relations)
     for name, (s, t) in relations.items():
-        declared = declared | ((F.col("relation") == name) & (F.col("s") == s) & (F.col("t") == t))
-    bad_edges = ends.where(~declared).select(F.concat_ws(" ", "src", "relation", "tgt").alias("subject"), F.lit("undeclared relation").alias("problem"))
+        declared = declared | ((F.col("relation") == name) & (F.col("node_type") == F.when(F.col("side") == 0, s).otherwise(t)))
+    missing = F.col("here").isNull()
+    found = ends.join(nodes.select("id", "node_type", F.lit(True).alias("here")), "id", "left")
+    odd = settle(found.where(missing | (F.col("relation").isin(known) & ~declared)).select("relation", "side", "id", missing.alias("missing")).distinct())
+    at = lambda side, end: odd.where(F.col("side") == side).select("relation", F.col("id").alias(end), F.col("missing").alias(f"{end}_missing"))
+    e = edges.select("src", "relation", "tgt").where("src is not null and tgt is not null")
+    for side, end in enumerate(("src", "tgt")):
+        e = join_ends(e, at(side, end), ["relation", end], "left")
+    wrong = F.coalesce(~F.col("relation").isin(known), F.lit(False)) | F.col("src_missing").isNotNull() | F.col("tgt_missing").isNotNull()
+    here = ~F.coalesce("src_missing", F.lit(False)) & ~F.coalesce("tgt_missing", F.lit(False))
+    bad_edges = e.where(wrong & here).select(F.concat_ws(" ", "src", "relation", "tgt").alias("subject"), F.lit("undeclared relation").alias("problem"))
     return bad_nodes.unionByName(bad_edges)
