@@ -195,8 +195,9 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def prune_sources(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without those of the sources in `gone` (source_file); edges of a node that goes, go."""
-    kept = nodes.join(gone, "source_file", "left_anti")
-    return kept, keep_live_endpoints(edges.join(gone, "source_file", "left_anti"), kept)
+    gone = settle(gone.select("source_file").distinct())
+    kept = join_ends(nodes, gone, ["source_file"], "left_anti")
+    return kept, keep_live_endpoints(join_ends(edges, gone, ["source_file"], "left_anti"), kept)
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:

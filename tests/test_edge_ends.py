@@ -41,3 +41,14 @@ def test_profile(spark, most):
     nodes, edges = frames(spark)
     got = composite.validate_profile(nodes, edges, ["x", "y"], {"r": ("x", "y")})
     assert sorted(r["subject"] for r in got.collect()) == sorted(["b r a", "a q c", "n q b"] * 2)
+
+
+def test_sources_that_go_are_broadcast(spark):
+    nodes, edges = frames(spark)
+    gone = spark.createDataFrame([("f",), ("g",)], "source_file string")
+    left, links = build.prune_sources(nodes, edges, gone)
+    assert left.count() == links.count() == 0
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    left, links = build.prune_sources(nodes, edges, gone.where("source_file = 'g'"))
+    assert left.count() == len(NODES) and links.count() == build.keep_live_endpoints(edges, nodes).count()
