@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .analyze import degrees
 from .graph import bfs, multi_bfs
+from .iterate import settle
 
+#: Rows of one task that are made distinct.
+TASK_PAIRS = 500_000
 #: Words in names that touch security. Fixed values.
 SECURITY = ("auth", "login", "password", "token", "session", "crypt", "secret", "credential", "permission", "sql", "query", "execute", "connect", "socket", "request", "http", "sanitize", "validate", "encrypt", "decrypt", "hash", "sign", "verify", "admin", "privilege")
 
@@ -23,9 +26,18 @@ def impact_radius(nodes: DataFrame, adj: DataFrame, files: list[str], depth: int
 
 
 def transitive_tests(calls: DataFrame, tested_by: DataFrame, depth: int = 1) -> DataFrame:
-    """(id, test): tests of a node and of what it calls within `depth`; calls (id, nbr), tested_by (test, id)."""
-    near = multi_bfs(calls, calls.select("id").unionByName(tested_by.select("id")).distinct(), depth)
-    return near.join(tested_by, "id").select(F.col("start").alias("id"), "test").distinct()
+    """(id, test): tests of a node and of what it calls within `depth`; calls (id, nbr), tested_by (test, id).
+
+    Rows can be as many as nodes times tests. They are counted before they are
+    made, and dealt into parts of TASK_PAIRS before they are made distinct, so
+    no task holds more of a larger graph.
+    """
+    tested = settle(tested_by.select("id", "test").distinct())
+    near = multi_bfs(calls, calls.select("id").unionByName(tested.select("id")).distinct(), depth)
+    size = lambda df, name: df.groupBy("id").agg(F.count(F.lit(1)).alias(name))
+    pairs = size(near, "n").join(size(tested, "k"), "id").agg(F.sum(F.col("n") * F.col("k")).alias("pairs")).first()["pairs"] or 0
+    met = near.join(tested, "id").select(F.col("start").alias("id"), "test")
+    return met.repartition(max(1, -(-pairs // TASK_PAIRS)), "id", "test").distinct()
 
 
 def entry_points(functions: DataFrame, calls: DataFrame, name: str = "label", pattern: str = r"^(main|run|handle_|on_|test_)") -> DataFrame:
