@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandwise.functions.text import nfkc
 
@@ -12,6 +13,8 @@ from .iterate import ranked, settle
 EDGE_KEY = ["src", "tgt", "relation"]
 #: Ends that are broadcast to the edges; rows of one task where they are too many.
 BROADCAST_ENDS, TASK_EDGES = 2_000_000, 500_000
+#: Different observations (source_file, confidence) that an edge can mark as bits.
+MOST_MARKS = 512
 #: Confidence scores of an edge's evidence; search weights have a table of their own.
 EVIDENCE_SCORE = {"EXTRACTED": 1.0, "INFERRED": 0.5, "AMBIGUOUS": 0.2}
 
@@ -65,6 +68,36 @@ def merge_edges(emissions: DataFrame) -> DataFrame:
     return join_ends(merged, names, ["strength"], "left").select(*EDGE_KEY, "weight", "confidence")
 
 
+def count_evidence(emissions: DataFrame) -> DataFrame:
+    """`merge_evidence` without the observations, of which only the number and the first source stay.
+
+    Where a corpus has up to MOST_MARKS different observations, these are
+    numbered in order and an edge marks its own as bits, so that it is merged
+    by numbers only, on the map side too, and nothing is sorted. Beyond, the
+    observations of an edge are gathered.
+    """
+    seen = settle(emissions.select("source_file", "confidence").distinct())
+    n = seen.count()
+    if n > MOST_MARKS:
+        return merge_evidence(emissions).drop("evidence")
+    name, confidence = F.asc_nulls_first("confidence"), F.col("confidence")
+    place = F.row_number().over(W.orderBy(F.asc_nulls_first("source_file"), name)) - 1  # MOST_MARKS rows at most
+    strength = F.dense_rank().over(W.orderBy(confidence_rank(confidence), name))
+    marks = seen.select("*", place.alias("mark"), strength.alias("strength"), evidence_score(confidence).alias("score"))
+    same = emissions["source_file"].eqNullSafe(marks["source_file"]) & emissions["confidence"].eqNullSafe(marks["confidence"])
+    words = [f"_{w}" for w in range(-(-n // 64))]
+    bit = F.expr("shiftleft(1L, mark % 64)")
+    bits = [F.bit_or(F.when(F.expr("mark div 64") == w, bit).otherwise(F.lit(0).cast("long"))).alias(c) for w, c in enumerate(words)]
+    merged = (
+        emissions.join(F.broadcast(marks), same)
+        .groupBy(*EDGE_KEY)
+        .agg(F.max("weight").alias("weight"), F.max("strength").alias("strength"), F.max("score").alias("confidence_score"), F.min("mark").alias("mark"), *bits)
+    )
+    named = merged.join(F.broadcast(marks.select("strength", "confidence").distinct()), "strength").join(F.broadcast(marks.select("mark", "source_file")), "mark")
+    total = sum((F.bit_count(c) for c in words), F.lit(0)).cast("long")
+    return named.select(*EDGE_KEY, "weight", "confidence", "confidence_score", total.alias("n_observations"), "source_file")
+
+
 def merge_intervals(observed: DataFrame, keys: list[str]) -> DataFrame:
     """The closed interval of a merged edge: the least t, the largest t_end, open if any member is; invalid members don't count."""
     valid = observed.where(F.col("t").isNotNull() & (~F.col("has_t_end") | (F.col("t_end").isNotNull() & (F.col("t_end") >= F.col("t")))))

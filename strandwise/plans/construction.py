@@ -25,7 +25,7 @@ def a6_records_to_nodes(spark, sf_dir):
 
 @query(f"WITH {star.ORACLE_EDGES} SELECT src, tgt, relation, weight, confidence, confidence_score, n_observations, source_file FROM edges")
 def e1_evidence_merge(spark, sf_dir):
-    return build.merge_evidence(star.emissions(spark, sf_dir)).drop("evidence")
+    return build.count_evidence(star.emissions(spark, sf_dir))
 
 
 @query(

@@ -45,3 +45,15 @@ def test_risky_chains_merge_only_what_is_near(spark):
     from strandwise.plans import catalogue
 
     assert "SortAggregate" not in shown(catalogue.QUERIES["f16_risky_chains"](spark, "/root/testdata/sf0.001"))
+
+
+def test_counted_evidence_is_that_of_the_gathered(spark, monkeypatch):
+    many = [("a", "b", "r", c, 1.0, f"f{i % 90:02d}") for i in range(270) for c in ("EXTRACTED", "guess")]
+    emissions = spark.createDataFrame(ROWS * 2 + many, EMISSIONS)
+    gathered = build.merge_evidence(emissions).drop("evidence")
+    counted = build.count_evidence(emissions)
+    assert "ObjectHashAggregate" not in shown(counted) and "SortAggregate" not in shown(counted)
+    expected = sorted(map(str, gathered.collect()))
+    assert sorted(map(str, counted.select(gathered.columns).collect())) == expected
+    monkeypatch.setattr(build, "MOST_MARKS", 5)
+    assert sorted(map(str, build.count_evidence(emissions).select(gathered.columns).collect())) == expected
