@@ -80,7 +80,8 @@ def fold(text: str) -> tuple[str, np.ndarray]:
 def folded(text: str | None) -> str:
     if text and text.isascii() and "." not in text:
         return " ".join(text.lower().split())
-    return fold(text or "")[0]
+    form = " ".join(filter(None, "".join([_FOLD[c] for c in text or ""]).split(" ")))
+    return fold(text)[0] if "." in form else form
 
 
 def _is_heading(line: str) -> bool:
@@ -133,6 +134,10 @@ def paragraphs(text: str, markdown: bool) -> Iterator[tuple[int, str, int, int]]
         yield page, section, first, last
 
 
+def is_markdown(key: Column) -> Column:
+    return F.lower(key).rlike(r"\.(md|markdown)$")
+
+
 UNIT = "source string, unit int, page int, section string, start int, end int, text string, folded string, words array<struct<pos:int,word:string,at:int>>"
 
 
@@ -159,7 +164,7 @@ def source_units(sources: DataFrame, key: str = "source", text: str = "text", ma
                         rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    kind = F.lower(F.col(key)).rlike(r"\.(md|markdown)$") if markdown is None else markdown
+    kind = is_markdown(F.col(key)) if markdown is None else markdown
     given = sources.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("source"), F.col(text).alias("text"), F.coalesce(kind, F.lit(False)).alias("markdown"))
     return given.mapInPandas(cut, UNIT)
 
