@@ -1,15 +1,16 @@
 """Citation grounding: node terms found in source units by a positional index, quoted verbatim.
 
 Sources are cut into paragraphs with pages, sections and offsets. Each paragraph
-is folded (accents, ligatures, case, white space, dotted initials), and each of
-its words is held with its place there. A term is sought by its rarest word,
-and what stands around that is compared whole. Each quote is a slice of its source; what can't be grounded is an issue.
+is folded (accents, ligatures, case, white space, dotted initials). Tasks hold
+the terms and read each source once; terms beyond what they may hold are sought
+by their rarest words, which are held with their places. Each quote is a slice of its source; what can't be grounded is an issue.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .iterate import settle
+from .seek import Places, few
 
 #: Code points of a quote before and after what it shows, and in all; citations of a node in a source. Fixed values.
 BEFORE, AFTER, LONGEST, TOP = 110, 210, 320, 6
@@ -44,11 +46,16 @@ _KEY = re.compile(r"[a-z_]+:\s", re.I)
 
 
 class _Folded(dict):
-    """A character's folded form; white space is one space, a combining mark nothing."""
+    """A character's folded form; white space is one space, a combining mark nothing. Those met that are not one character then are odd."""
+
+    def __init__(self) -> None:
+        self.odd: set[str] = set()
 
     def __missing__(self, c: str) -> str:
         bare = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", c))
         self[c] = " " if c.isspace() else bare.replace("œ", "oe").replace("æ", "ae").replace("Œ", "OE").replace("Æ", "AE").lower()
+        if len(self[c]) != 1:
+            self.odd.add(c)
         return self[c]
 
 
@@ -58,7 +65,9 @@ _FOLD = _Folded()
 def fold(text: str) -> tuple[str, np.ndarray]:
     """(folded text, for each of its characters the place in text that it comes from)."""
     pieces = [_FOLD[c] for c in text]
-    at = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, count=len(pieces)))
+    at = np.arange(len(pieces))
+    if not _FOLD.odd.isdisjoint(text):
+        at = np.repeat(at, np.fromiter(map(len, pieces), np.int64, count=len(pieces)))
     whole = "".join(pieces)
     if not whole:
         return "", at
@@ -68,7 +77,7 @@ def fold(text: str) -> tuple[str, np.ndarray]:
     kept = np.flatnonzero(keep)
     kept = kept[1:] if len(kept) and space[kept[0]] else kept
     kept = kept[:-1] if len(kept) and space[kept[-1]] else kept
-    text, at = "".join([whole[i] for i in kept]) if len(kept) < len(whole) else whole, at[kept]
+    text, at = " ".join(filter(None, whole.split(" "))) if len(kept) < len(whole) else whole, at[kept]
     gone = [i for m in _INITIALS.finditer(text) for i in range(*m.span()) if text[i] == " "] if "." in text else []
     if gone:
         stay = np.ones(len(text), dtype=bool)
@@ -81,7 +90,7 @@ def folded(text: str | None) -> str:
     if text and text.isascii() and "." not in text:
         return " ".join(text.lower().split())
     form = " ".join(filter(None, "".join([_FOLD[c] for c in text or ""]).split(" ")))
-    return fold(text)[0] if "." in form else form
+    return _INITIALS.sub(lambda m: m.group().replace(" ", ""), form) if "." in form else form
 
 
 def _is_heading(line: str) -> bool:
@@ -343,6 +352,13 @@ def _core(quote: str) -> str:
     return folded(re.sub(r"\s*…$", "", re.sub(r"^…\s*", "", quote)))
 
 
+def _quote(text: str, form: str, origin: np.ndarray, at: int, needle: str) -> tuple[int, int, str, str, bool]:
+    """(start, end, quote, its first 60 folded characters, whether it is in its unit and shows the needle) at a place of the unit's folded form, or of the raw needle if that is -1."""
+    a, b, said = quote_at(text, int(origin[at]) if at >= 0 else max(0, text.find(needle)))
+    core, shown = _core(said), folded(said)
+    return a, b, said, shown[:60], bool(core) and core in form and folded(needle) in shown
+
+
 CITED = "id string, source string, stage int, unit int, page int, section string, start int, end int, quote string, brief string, confidence string, verified boolean"
 
 
@@ -357,12 +373,8 @@ def _quoted(found: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                _, origin = fold(r.text)
-                place = int(origin[r.at]) if r.at >= 0 else max(0, r.text.find(r.needle))
-                a, b, said = quote_at(r.text, place)
-                core, needle = _core(said), folded(r.needle)
-                ok = bool(core) and core in r.folded and needle in folded(said)
-                rows.append((r.id, r.source, r.stage, r.unit, r.page, r.section, r.offset + a, r.offset + b, said, folded(said)[:60], r.confidence, ok))
+                a, b, said, brief, ok = _quote(r.text, r.folded, fold(r.text)[1], r.at, r.needle)
+                rows.append((r.id, r.source, r.stage, r.unit, r.page, r.section, r.offset + a, r.offset + b, said, brief, r.confidence, ok))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CITED.split(", ")])
 
     return found.mapInPandas(quote, CITED)
@@ -382,9 +394,114 @@ def ground(nodes: DataFrame, sources: DataFrame, wanted: DataFrame | None = None
     a citation. wanted are the pairs (id, source) to be grounded; without it
     every source is searched, and only pairs with an occurrence are reported.
     """
-    units = settle(source_units(sources, key, text))
     terms = settle(node_terms(nodes))
+    said = settle(_sayings(nodes))
     pairs = None if wanted is None else wanted.select("id", F.col("source").cast("string").alias("source")).distinct()
+    given = sources.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("source"), F.col(text).alias("text"))
+    held = few(terms.select("term").unionByName(said.select("term")), "term")
+    quoted = _cited(given, terms, said, top) if held else _joined(given, terms, said, pairs)
+    quoted = settle(quoted if pairs is None else quoted.join(pairs, ["id", "source"], "left_semi"))
+    # what a task found of a source is in order, unless the source has more rows
+    if not held or not given.groupBy("source").count().where("count > 1").isEmpty():
+        quoted = quoted.repartition("id", "source").withColumn("nth", F.when(F.col("verified"), F.row_number().over(W.partitionBy("id", "source", "verified", "brief").orderBy("stage", "unit", "start"))))
+        quoted = settle(quoted.where("not verified or nth = 1").withColumn("rank", F.row_number().over(W.partitionBy("id", "source", "verified").orderBy("stage", "unit", "start"))).drop("nth"))
+    citations = quoted.where(F.col("verified") & (F.col("rank") <= top)).select("id", "source", "rank", "page", "section", "unit", "start", "end", "quote", "confidence")
+    issues = quoted.where("not verified and stage < 4").select("id", "source", F.lit("unverified").alias("reason")).distinct()
+    sought = quoted.select("id", "source").distinct() if pairs is None else pairs
+    bare = sought.join(citations.select("id", "source").distinct(), ["id", "source"], "left_anti").select("id", "source", F.lit("ungrounded").alias("reason"))
+    return citations, issues.unionByName(bare)
+
+
+def _citations(source: str, said: str, markdown: bool, index: Places, entries: list[list[tuple]], heads: dict[str, list[tuple]], top: int) -> list[tuple]:
+    """Rows of CITED, with ranks, of a source: of each node the first `top` citations, and one that isn't verified if there is any."""
+    offers: dict[str, list[tuple]] = defaultdict(list)
+    stretches: dict[tuple[str, int], tuple] = {}
+    for unit, (page, section, start, end) in enumerate(paragraphs(said, markdown)):
+        text = said[start:end]
+        form, origin = fold(text)
+        first, words = {}, {}
+
+        def offer(id_: str, stage: int, at: int, needle: str) -> None:
+            a, b, quote, brief, ok = _quote(text, form, origin, at, needle)
+            offers[id_].append((stage, unit, start + a, page, section, start + b, quote, brief, "EXTRACTED", ok))
+
+        title = re.findall("[a-z0-9]+", section.lower()) if heads and section else []
+        for head in dict.fromkeys(title):
+            for id_, run in heads.get(head, ()):
+                if any(title[k : k + len(run)] == run for k in range(len(title))):
+                    offer(id_, 1, 0, "")
+        for at, no in index.of(form):
+            for how, id_, order, term, *more in entries[no]:
+                if how == "text":
+                    first[id_] = min(first.get(id_, (order, at, term)), (order, at, term))
+                elif how == "said":
+                    if (id_, order) not in stretches:
+                        a, b = start + int(origin[at]), start + int(origin[at + len(index.texts[no]) - 1]) + 1
+                        stretches[id_, order] = (4 + order, unit, a, page, section, b, term, index.texts[no][:60], more[1], True), more[0]
+                elif (how, id_, order) not in words:
+                    words[how, id_, order] = term if (term in text if how == "raw" else re.search(rf"\b{term}\b", text)) else None
+        for id_, (_, at, term) in first.items():
+            offer(id_, 3, at, term)
+        for (how, id_, _), term in words.items():
+            if term and (how == "raw" or id_ not in first):
+                offer(id_, 2 if how == "raw" else 3, -1, term)
+    # all of a rationale counts only where no quoted stretch of it stands
+    marked = {id_ for (id_, _), (_, quoted) in stretches.items() if quoted}
+    for (id_, _), (row, quoted) in stretches.items():
+        if quoted or id_ not in marked:
+            offers[id_].append(row)
+    rows = []
+    for id_, found in offers.items():
+        briefs, rank, doubt = set(), 0, False
+        for stage, unit, a, page, section, b, quote, brief, confidence, ok in sorted(found, key=lambda c: c[:3]):
+            if ok and brief not in briefs and rank < top:
+                briefs.add(brief)
+                rank += 1
+                rows.append((id_, source, stage, unit, page, section, a, b, quote, brief, confidence, True, rank))
+            elif not ok and not doubt:
+                doubt = True
+                rows.append((id_, source, stage, unit, page, section, a, b, None, None, None, False, None))
+    return rows
+
+
+def _cited(given: DataFrame, terms: DataFrame, said: DataFrame, top: int) -> DataFrame:
+    """CITED and rank: what `_citations` finds of terms and rationales' stretches in each of given (source, text).
+
+    Tasks hold the terms, and each source is read once: nothing of it is
+    written or shuffled but its citations.
+    """
+    entries: dict[str, list[tuple]] = defaultdict(list)
+    heads: dict[str, list[tuple]] = defaultdict(list)
+    for r in terms.where(F.size("words") > 0).orderBy("id", "order").collect():  # at most HELD_TEXTS, as the next
+        if r.how == "section":
+            heads[r.words[0]].append((r.id, list(r.words)))
+        else:
+            entries[r.term.lower()].append((r.how, r.id, r.order, r.term))
+    for r in said.where(F.size("words") > 0).orderBy("id", "order").collect():
+        entries[r.term].append(("said", r.id, r.order, r.quote, r.quoted, "EXTRACTED" if r.kind == "quote" else "INFERRED"))
+    shared = given.sparkSession.sparkContext.broadcast((Places(entries), list(entries.values()), dict(heads)))
+    columns = [c.split()[0] for c in CITED.split(", ")] + ["rank"]
+
+    def cite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for source, text, markdown in zip(batch["source"], batch["text"], batch["markdown"]):
+                rows += _citations(source, text, markdown, *shared.value, top)
+                if len(rows) >= 5000:
+                    yield _frame(rows, columns)
+                    rows = []
+            yield _frame(rows, columns)
+
+    return given.withColumn("markdown", is_markdown(F.col("source"))).mapInPandas(cite, f"{CITED}, rank int")
+
+
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns, dtype=object)
+
+
+def _joined(given: DataFrame, terms: DataFrame, said: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """CITED of what `_cited` finds, all of it without ranks, for terms beyond what tasks may hold: by joins of words."""
+    units = settle(source_units(given))
     plain = joined_occurrences(terms.where("how = 'text'").drop("how"), units, pairs)
     # the first of a node's terms that stands in the paragraph, where it stands first
     first = plain.groupBy("id", "source", "unit").agg(F.min(F.struct("order", "at")).alias("f")).select("id", "source", "unit", F.col("f.order").alias("order"), F.col("f.at").alias("at"))
@@ -411,19 +528,11 @@ def ground(nodes: DataFrame, sources: DataFrame, wanted: DataFrame | None = None
         .join(units.select("source", "unit", "page", "section", F.col("start").alias("offset"), "text", "folded"), ["source", "unit"])
     )
     quoted = _quoted(found.select("id", "source", "stage", "unit", "page", "section", "offset", "text", "folded", "at", "needle", F.lit("EXTRACTED").alias("confidence")))
-    quoted = settle(quoted.unionByName(_rationales(nodes, units, pairs)))
-    once = W.partitionBy("id", "source", "brief").orderBy("stage", "unit", "start")
-    place = W.partitionBy("id", "source").orderBy("stage", "unit", "start")
-    kept = quoted.where("verified").withColumn("nth", F.row_number().over(once)).where("nth = 1").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
-    citations = settle(kept.select("id", "source", "rank", "page", "section", "unit", "start", "end", "quote", "confidence"))
-    issues = quoted.where("not verified and stage < 4").select("id", "source", F.lit("unverified").alias("reason")).distinct()
-    sought = quoted.select("id", "source").distinct() if pairs is None else pairs
-    bare = sought.join(citations.select("id", "source").distinct(), ["id", "source"], "left_anti").select("id", "source", F.lit("ungrounded").alias("reason"))
-    return citations, issues.unionByName(bare)
+    return quoted.unionByName(_rationales(said, units, pairs))
 
 
-def _rationales(nodes: DataFrame, units: DataFrame, pairs: DataFrame | None) -> DataFrame:
-    """Citations by the rationale's quoted stretches of eight characters and more, or else by all of it, where they stand verbatim in a unit."""
+def _sayings(nodes: DataFrame) -> DataFrame:
+    """(id, kind, order, quoted, quote, term, words, at) of the rationale's quoted stretches of eight characters and more, then all of it."""
 
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("order", T.IntegerType()), T.StructField("quoted", T.BooleanType()), T.StructField("quote", T.StringType()), T.StructField("term", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("at", T.IntegerType())])))
     def spans(said: pd.Series) -> pd.Series:
@@ -439,7 +548,11 @@ def _rationales(nodes: DataFrame, units: DataFrame, pairs: DataFrame | None) ->
             out.append(rows)
         return pd.Series(out)
 
-    each = settle(nodes.where("rationale is not null").select("id", F.lower("node_type").alias("kind"), F.explode(spans("rationale")).alias("s")).select("id", "kind", "s.*"))
+    return nodes.where("rationale is not null").select("id", F.lower("node_type").alias("kind"), F.explode(spans("rationale")).alias("s")).select("id", "kind", "s.*")
+
+
+def _rationales(each: DataFrame, units: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """Citations by the rationale's quoted stretches, or else by all of it, where they stand verbatim in a unit."""
     found = joined_occurrences(each.select("id", "order", "term", "words", "at"), units, pairs)
     first = found.groupBy("id", "order", "source").agg(F.min(F.struct("unit", "at")).alias("f"))
     joined = first.join(each.select("id", "order", "kind", "quoted", "quote", "term"), ["id", "order"])

@@ -1,4 +1,4 @@
-"""The search that tasks hold against plain search, and what linking leaves on disk."""
+"""The search that tasks hold against plain search, and what linking and grounding leave on disk."""
 
 import random
 from pathlib import Path
@@ -7,7 +7,7 @@ from strandwise.operators import grounding as G
 from strandwise.operators import linking as L
 from strandwise.operators import seek
 from strandwise.operators.iterate import shared_folder
-from strandwise.plans.grounded import KINDS, QUERIES, item_registry
+from strandwise.plans.grounded import KINDS, QUERIES, document_sources, item_nodes, item_registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +48,26 @@ def test_linking_beyond_what_is_held(spark, monkeypatch):
     want = sorted(map(tuple, L.link_entities(docs, KINDS, registry)[0].collect()), key=str)
     monkeypatch.setattr(seek, "HELD_TEXTS", 0)
     assert sorted(map(tuple, L.link_entities(docs, KINDS, registry)[0].collect()), key=str) == want and want
+
+
+def test_grounding_writes_no_text(spark):
+    before = held(spark)
+    found = QUERIES["i10_citation_grounding"](spark, SF).count()
+    wrote = sum(n for p, n in held(spark).items() if p not in before)
+    texts = Path(f"{SF}/documents.parquet").stat().st_size
+    assert found and wrote < texts / 2, (wrote, texts)
+
+
+def test_grounding_beyond_what_is_held(spark, monkeypatch):
+    nodes, docs = item_nodes(spark, SF), document_sources(spark, SF).where("cast(substring(source, 5) AS int) < 60")
+    want = [sorted(map(tuple, df.collect()), key=str) for df in G.ground(nodes, docs)]
+    monkeypatch.setattr(seek, "HELD_TEXTS", 0)
+    assert [sorted(map(tuple, df.collect()), key=str) for df in G.ground(nodes, docs)] == want and all(want[:1])
+
+
+def test_a_source_of_several_rows_has_one_order(spark):
+    nodes = spark.createDataFrame([("n", "tool", "lathe", None, None)], "id string, node_type string, label string, aliases array<string>, rationale string")
+    texts = [("s", "\n\n".join(f"{k} a lathe stands {x}" for k in range(5))) for x in "ab"] + [("t", "no lathe")]
+    cited = G.ground(nodes, spark.createDataFrame(texts, "source string, text string").repartition(3))[0].collect()
+    assert sorted((r.source, r["rank"]) for r in cited) == [("s", k) for k in range(1, 7)] + [("t", 1)]
+    assert len({r.quote for r in cited}) == 7
