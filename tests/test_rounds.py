@@ -38,7 +38,7 @@ def test_rounds_by_joins_are_the_same(spark, monkeypatch, seed):
     want = sorted(map(tuple, graph.cluster(adj, nodes, 90.0, 6, 2).collect()))
     parts = adj.where("substr(id, 2, 1) = substr(nbr, 2, 1)").withColumn("part", adj.id.substr(2, 1))
     apart = sorted(map(tuple, graph.communities(parts, 6, 2).collect()))
-    monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
-    monkeypatch.setattr(graph, "BROADCAST_NAMES", 0)
+    for bound in ("BROADCAST_NODES", "BROADCAST_NAMES", "HELD_NODES"):
+        monkeypatch.setattr(graph, bound, 0)
     assert sorted(map(tuple, graph.cluster(adj, nodes, 90.0, 6, 2).collect())) == want and len({c for _, c in want}) > 3
     assert sorted(map(tuple, graph.communities(parts, 6, 2).collect())) == apart and apart
